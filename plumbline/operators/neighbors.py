@@ -142,6 +142,11 @@ def _salted(visits: DataFrame, points: DataFrame, key: str) -> tuple[DataFrame,
     return queries, copies
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitions of a fixed number: few bytes here still mean much work, so they must not be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _coordinates(frame: pd.DataFrame) -> np.ndarray:
     return frame[["x", "y", "z"]].to_numpy(dtype=np.float64)
 
@@ -226,7 +231,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
             [key, "tile", "x", "y", "z", "weight", "distances"]
         ]
 
-    own = tiling.points.groupBy(key, "tile").applyInPandas(inside, own_schema)
+    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(inside, own_schema)
     if not tiling.levels:
         return own.drop("tile")
     own = cut(own)
@@ -235,6 +240,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
         key, *_AXES, "reach", F.col("tile").alias("home")
     )
     visits = cut(_tiles_in_reach(queries, tiling, key).select(key, *_AXES, "reach", "tile"))
+    visit = (key, "tile", "salt")
     asked, copies = _salted(visits, tiling.points, key)
     cross_schema = f"{key} {key_type}, x double, y double, z double, distances array<double>"
 
@@ -245,7 +251,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
         return found.loc[found["distances"].str.len() > 0, [key, "x", "y", "z", "distances"]]
 
     cross = (
-        asked.groupBy(key, "tile", "salt").cogroup(copies.groupBy(key, "tile", "salt"))
+        _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
         .applyInPandas(across, cross_schema)
     )
     merged = own.select(key, *_AXES, "weight", "distances").unionByName(cross, allowMissingColumns=True)
@@ -281,13 +287,14 @@ def radius_counts(
         ]
 
     own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, neighbors bigint"
-    own = tiling.points.groupBy(key, "tile").applyInPandas(inside, own_schema)
+    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(inside, own_schema)
     if not tiling.levels:
         return own.drop("tile")
     own = cut(own)
     open_points = own if enough is None else own.filter(F.col("neighbors") <= enough)
     queries = open_points.select(key, *_AXES, F.lit(radius).alias("reach"), F.col("tile").alias("home"))
     visits = cut(_tiles_in_reach(queries, tiling, key).select(key, *_AXES, "tile", "tile_weight", "covered"))
+    visit = (key, "tile", "salt")
     asked, copies = _salted(visits.filter("not covered"), tiling.points, key)
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +303,7 @@ def radius_counts(
         return left.assign(neighbors=weights_in_reach(left, right))[[key, "x", "y", "z", "neighbors"]]
 
     cross = (
-        asked.groupBy(key, "tile", "salt").cogroup(copies.groupBy(key, "tile", "salt"))
+        _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
         .applyInPandas(across, f"{key} {key_type}, x double, y double, z double, neighbors bigint")
     )
     covered = visits.filter("covered").select(key, *_AXES, F.col("tile_weight").alias("neighbors"))
@@ -346,7 +353,7 @@ def nearest_neighbors(
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
         return frame.assign(hits=hits(frame, frame, None))[[key, "tile", "x", "y", "z", "hits"]]
 
-    own = tiling.points.groupBy(key, "tile").applyInPandas(
+    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(
         inside, f"{key} {key_type}, tile bigint, x double, y double, z double, hits {hit}"
     )
     merged = own.drop("tile")
@@ -357,6 +364,7 @@ def nearest_neighbors(
             key, *_AXES, "reach", F.col("tile").alias("home")
         )
         visits = cut(_tiles_in_reach(queries, tiling, key).select(key, *_AXES, "reach", "tile"))
+        visit = (key, "tile", "salt")
         asked, copies = _salted(visits, tiling.points, key)
 
         def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -365,7 +373,7 @@ def nearest_neighbors(
             return left.assign(hits=hits(left, right, left["reach"].to_numpy()))[[key, "x", "y", "z", "hits"]]
 
         cross = (
-            asked.groupBy(key, "tile", "salt").cogroup(copies.groupBy(key, "tile", "salt"))
+            _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
             .applyInPandas(across, f"{key} {key_type}, x double, y double, z double, hits {hit}")
         )
         merged = own.drop("tile").unionByName(cross)

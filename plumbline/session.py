@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +26,15 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a temporary one only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = os.environ.get("PLUMBLINE_CHECKPOINT_DIR")
-    if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="plumbline-")
-    # remembered on the session so that every later call names the same folder
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    own = "plumbline.checkpoint.dir"
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(own, None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    # remembered on the session, so that every later call names the same folder
+    spark.conf.set(own, tempfile.mkdtemp(prefix="plumbline-"))
+    return spark.conf.get(own)
 
 
 def cut(df: DataFrame) -> DataFrame:
