@@ -16,10 +16,10 @@ WITH {using('v_points_big')},
 places AS (SELECT cloud_id, x, y, z, count(*) AS c, bool_and(r BETWEEN 0 AND 255 AND g BETWEEN 0 AND 255 AND b BETWEEN 0 AND 255) AS ok
            FROM v_points_big GROUP BY ALL),
 m AS (SELECT cloud_id, CAST(sum(c) AS BIGINT) AS num_points, count(*) AS unique_points, bool_and(ok) AS rgb_valid,
-      {', '.join(f'min({a}) AS a{a}, max({a}) AS b{a}, max({a})-min({a}) AS e{a}' for a in _XYZ)} FROM places GROUP BY cloud_id)
+      {', '.join(f'min({a}) AS lo{a}, max({a}) AS hi{a}, max({a})-min({a}) AS e{a}' for a in _XYZ)} FROM places GROUP BY cloud_id)
 SELECT cloud_id, CASE WHEN num_points > unique_points OR NOT rgb_valid OR least(ex, ey, ez) <= 1e-6 THEN 'WARNING' ELSE 'PASS' END AS status,
        num_points, unique_points, num_points - unique_points AS duplicate_points,
-       {', '.join(f'round(a{a}, 4) AS min_{a}, round(b{a}, 4) AS max_{a}, round(e{a}, 4) AS extent_{a}' for a in _XYZ)},
+       {', '.join(f'round(lo{a}, 4) AS min_{a}, round(hi{a}, 4) AS max_{a}, round(e{a}, 4) AS extent_{a}' for a in _XYZ)},
        round(ex*ey*ez, 4) AS volume, round(num_points/(ex*ey*ez), 4) AS density, true AS rgb_available, rgb_valid
 FROM m"""
 
@@ -79,7 +79,7 @@ FROM v_points_big JOIN n USING (cloud_id, x, y, z) GROUP BY cloud_id"""
 ORACLE["radius_neighbors"] = f"""
 WITH {using('v_points')}
 SELECT a.point_id, count(*) AS neighbors FROM v_points a JOIN v_points b
-  ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 1e0 GROUP BY a.point_id"""
+  ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.15e0*0.15e0 GROUP BY a.point_id"""
 
 
 def _nearest(k: int) -> str:
@@ -386,7 +386,7 @@ WITH {using('v_hist')}, two AS (SELECT p.source_idx, CAST(p.hist AS DOUBLE[]) AS
 SELECT source_idx, round({_CORR}, 4) AS correlation FROM two"""
 
 ORACLE["image_metrics"] = """
-WITH px AS (SELECT vec_id AS source_idx, i, CAST(floor((CAST(list_extract(embedding, i + 1) AS DOUBLE) + 4)*30) AS BIGINT) % 256 AS v
+WITH px AS (SELECT vec_id AS source_idx, i, CAST(floor((CAST(list_extract(embedding, i + 1) AS DOUBLE) + 1)*120) AS BIGINT) % 256 AS v
    FROM embeddings, range(64) r(i)),
 lap AS (SELECT c.source_idx, c.v AS v, u.v + d.v + l.v + g.v - 4*c.v AS q FROM px c
    JOIN px u ON u.source_idx = c.source_idx AND u.i = (CASE WHEN c.i // 8 = 0 THEN 1 ELSE c.i // 8 - 1 END)*8 + c.i % 8
@@ -529,7 +529,7 @@ SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY image_name, p
 
 _DEPTH = """px AS (SELECT label AS scene_id, vec_id // 8 AS image_no, vec_id % 8 AS row, i AS col, CAST(list_extract(embedding, i + 1) AS DOUBLE) AS e
    FROM embeddings, range(64) r(i)),
-cam AS (SELECT scene_id, image_no, row, col, (col - 32)*(e + 6)/50e0 - 1 AS u, (row - 4)*(e + 6)/40e0 - 2 AS v, e + 6 - 3 AS w FROM px WHERE abs(e)*5 >= 5),
+cam AS (SELECT scene_id, image_no, row, col, (col - 32)*(e + 6)/50e0 - 1 AS u, (row - 4)*(e + 6)/40e0 - 2 AS v, e + 6 - 3 AS w FROM px WHERE abs(e)*60 >= 5),
 world AS (SELECT scene_id, image_no, row, col, -0.28e0*u + 0.96e0*v AS x, -0.96e0*u - 0.28e0*v AS y, w AS z FROM cam)"""
 ORACLE["depth_unproject"] = f"WITH {_DEPTH} SELECT scene_id, image_no, row, col, {_R4} FROM world"
 ORACLE["capped_points"] = f"""

@@ -93,7 +93,7 @@ def radius_filter(spark, sf_dir):
 
 @query
 def radius_neighbors(spark, sf_dir):
-    counted = neighbors.radius_counts(view(spark, sf_dir, "v_points"), 1.0)
+    counted = neighbors.radius_counts(view(spark, sf_dir, "v_points"), 0.15)
     return view(spark, sf_dir, "v_points").join(counted, ["cloud_id", "x", "y", "z"]).select("point_id", "neighbors")
 
 
@@ -386,7 +386,7 @@ def image_metrics(spark, sf_dir):
     from plumbline.sources.images import measure
 
     # each vector becomes an 8x8 grey picture in the layout of Spark's image reader
-    grey = F.transform("embedding", lambda v: F.floor((v.cast("double") + 4) * 30) % 256)
+    grey = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 120) % 256)
     data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
     pictures = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("source_idx"),
@@ -566,7 +566,7 @@ def _depth_points(spark, sf_dir):
     rows = vectors.select(
         F.col("label").alias("scene_id"), F.floor(F.col("vec_id") / 8).alias("image_no"), (F.col("vec_id") % 8).alias("row"),
         F.transform("embedding", lambda v: v.cast("double") + 6).alias("depth"),
-        F.transform("embedding", lambda v: F.abs(v.cast("double")) * 5).alias("confidence"),
+        F.transform("embedding", lambda v: F.abs(v.cast("double")) * 60).alias("confidence"),
         *[F.lit(v).alias(n) for n, v in (("fx", 50.0), ("fy", 40.0), ("cx", 32.0), ("cy", 4.0), ("tx", 1.0), ("ty", 2.0), ("tz", 3.0))],
         F.array(*R.quaternion_to_matrix(F.lit(0.6), F.lit(0.0), F.lit(0.0), F.lit(0.8))).alias("rot"),
     )

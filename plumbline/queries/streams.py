@@ -67,8 +67,13 @@ def sync_stream(spark: SparkSession, sf_dir: str, tolerance: float) -> DataFrame
         F.col("user_id").alias("flight_id"), F.when(F.col("event_type") == "view", "pose").otherwise("gps").alias("side"),
         F.col("event_id").alias("row_id"), seconds.alias("ts_s"), event_time.alias("event_time"),
     )
-    # a closing event far in the future moves the watermark past the last pose
-    matched = _finish(spark, nearest_fix_stream(events, tolerance, "1 hour"), "append")
+    # rows of a second source, far in the future, move the watermark past the last pose
+    end = _stream(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("flight_id"), F.lit("end").alias("side"),
+        F.lit(-1).cast("bigint").alias("row_id"), F.lit(0.0).alias("ts_s"),
+        F.to_timestamp(F.lit("2100-01-01 00:00:00")).alias("event_time"),
+    )
+    matched = _finish(spark, nearest_fix_stream(events.unionByName(end), tolerance, "1 hour"), "append")
     return matched.select(
         "flight_id", F.col("pose_id").alias("frame_no"), "gps_seq", fixed("time_diff_s").alias("time_diff_s"), "matched"
     )

@@ -22,7 +22,7 @@ class LastAccepted(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "hist array<double>, accepted bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("source_idx")
         state = self.last.get()
         incoming, count = (np.asarray(state[0]), state[1]) if state is not None else (None, 0)

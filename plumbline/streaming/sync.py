@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,63 +15,69 @@ _OUTPUT = "{key} bigint, pose_id bigint, ts_s double, gps_seq bigint, time_diff_
 
 
 class NearestFix(StatefulProcessor):
-    """Keeps the open poses and recent fixes of one flight slice; a pose leaves once no better fix can arrive."""
+    """Collects the poses and fixes of one time slice of a flight and matches them when no fix can follow."""
 
-    def __init__(self, key: str, tolerance: float):
-        self.key, self.tolerance = key, tolerance
+    def __init__(self, key: str, tolerance: float, width: float):
+        self.key, self.tolerance, self.width = key, tolerance, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.poses = handle.getMapState("poses", "pose_id bigint", "ts_s double")
-        self.fixes = handle.getMapState("fixes", "gps_seq bigint", "ts_s double")
+        self.poses = handle.getListState("poses", "ts_s double, pose_id bigint")
+        self.fixes = handle.getListState("fixes", "ts_s double, gps_seq bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        due = set()
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            for row in frame.itertuples(index=False):
-                if row.side == "pose":
-                    self.poses.updateValue((int(row.row_id),), (float(row.ts_s),))
-                    due.add(int((row.ts_s + self.tolerance) * 1000) + 1)
-                else:
-                    self.fixes.updateValue((int(row.row_id),), (float(row.ts_s),))
-                    # a fix is of use to poses up to the tolerance later
-                    due.add(int((row.ts_s + 2 * self.tolerance) * 1000) + 1)
-        for at in due:
-            self.handle.registerTimer(at)
+            for side, state in (("pose", self.poses), ("gps", self.fixes)):
+                chosen = frame[frame["side"] == side]
+                if len(chosen):
+                    state.appendList(list(zip(chosen["ts_s"].tolist(), chosen["row_id"].tolist())))
+        # one timer per slice: the same instant is registered again without effect
+        self.handle.registerTimer(int(((key[1] + 1) * self.width + self.tolerance) * 1000) + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
-        now = expired.getExpiryTimeInMs() / 1000.0
-        fixes = sorted((value[0], seq[0]) for seq, value in self.fixes.iterator())
-        ready = [(pose[0], value[0]) for pose, value in self.poses.iterator() if value[0] + self.tolerance < now]
-        out = []
-        for pose_id, ts in ready:
-            best = min(((abs(ts - at), at, seq) for at, seq in fixes), default=None)
-            hit = best is not None and best[0] <= self.tolerance
-            out.append((key[0], pose_id, ts, best[2] if hit else None, best[0] if hit else None, hit))
-            self.poses.removeKey((pose_id,))
-        open_from = min((value[0] for _, value in self.poses.iterator()), default=now)
-        for at, seq in fixes:
-            if at + self.tolerance < open_from and at + 2 * self.tolerance < now:
-                self.fixes.removeKey((seq,))
-        if out:
-            frame = pd.DataFrame(out, columns=[self.key, "pose_id", "ts_s", "gps_seq", "time_diff_s", "matched"])
-            yield frame.astype({"gps_seq": "Int64"})
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        poses = pd.DataFrame(list(self.poses.get()), columns=["ts_s", "pose_id"])
+        fixes = pd.DataFrame(list(self.fixes.get()), columns=["at", "gps_seq"])
+        self.poses.clear()
+        self.fixes.clear()
+        if poses.empty:
+            return
+        fixes = fixes.sort_values(["at", "gps_seq"]).drop_duplicates("at")
+        times = np.append(fixes["at"].to_numpy(), np.inf)
+        ts = poses["ts_s"].to_numpy()
+        after = np.searchsorted(times, ts, side="left")
+        after = np.minimum(after, len(times) - 1)
+        before = np.maximum(after - 1, 0)
+        nearest = np.where(np.abs(ts - times[before]) <= np.abs(times[after] - ts), before, after)
+        gap = np.abs(times[nearest] - ts)
+        hit = gap <= self.tolerance
+        seqs = np.append(fixes["gps_seq"].to_numpy(), -1).astype(np.int64)[nearest]
+        yield pd.DataFrame({
+            self.key: key[0], "pose_id": poses["pose_id"], "ts_s": ts,
+            "gps_seq": pd.Series(seqs, dtype="Int64").where(hit), "time_diff_s": pd.Series(gap).where(hit), "matched": hit,
+        })
 
     def close(self) -> None:
         pass
 
 
-def nearest_fix_stream(events: DataFrame, tolerance: float, delay: str, key: str = "flight_id") -> DataFrame:
-    """Poses with their nearest fix within ``tolerance`` seconds, emitted when the watermark has passed both.
+def nearest_fix_stream(
+    events: DataFrame, tolerance: float, delay: str, key: str = "flight_id", width: float | None = None
+) -> DataFrame:
+    """Poses with their nearest fix within ``tolerance`` seconds, emitted once the watermark has passed their slice.
 
     ``events`` is one stream of both sides: ``(key, side, row_id, ts_s, event_time)`` with side ``pose`` or ``gps``.
-    State of a flight is bounded by the fixes and poses of about two tolerances; rows later than the watermark
-    are dropped by Spark. Append mode.
+    State is kept per time slice of ``width`` seconds; a fix goes to every slice it is within tolerance of, so a
+    slice needs no other one, a busy flight is many keys, and closed slices leave nothing behind. Rows later than the
+    watermark are dropped by Spark. Append mode.
     """
-    timed = events.withWatermark("event_time", delay)
-    return timed.groupBy(key).transformWithStateInPandas(
-        NearestFix(key, tolerance), _OUTPUT.format(key=key), "Append", "EventTime"
+    width = 2 * tolerance if width is None else width
+    at = F.floor(F.col("ts_s") / width)
+    low, high = F.floor((F.col("ts_s") - tolerance) / width), F.floor((F.col("ts_s") + tolerance) / width)
+    slices = F.when(F.col("side") == "gps", F.sequence(low, high)).otherwise(F.array(at))
+    timed = events.withWatermark("event_time", delay).withColumn("slice", F.explode(slices))
+    return timed.groupBy(key, "slice").transformWithStateInPandas(
+        NearestFix(key, tolerance, width), _OUTPUT.format(key=key), "Append", "EventTime"
     )
 
 
