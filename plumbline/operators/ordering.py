@@ -119,3 +119,21 @@ def exact_median(
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     weight = lower.between(first, F.col("_last")).cast("int") + upper.between(first, F.col("_last")).cast("int")
     return ranked.groupBy(*keys).agg((F.sum(F.col("_v") * weight) / 2).alias(name))
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str, slice_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Largest ``value`` on earlier rows of the key, by dense ``position``; NULL values are skipped.
+
+    Rows are scanned in slices of positions, and one row per slice is carried over, so no task holds a whole key.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(position) / slice_rows)).withColumn("_value", value)
+    earlier = (Window.unboundedPreceding, -1)
+    inside = F.max("_value").over(Window.partitionBy(*keys, "_slice").orderBy(position).rowsBetween(*earlier))
+    tops = sliced.groupBy(*keys, "_slice").agg(F.max("_value").alias("_top"))
+    carried = tops.select(
+        *keys, "_slice", F.max("_top").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*earlier)).alias("_carry")
+    )
+    joined = sliced.withColumn("_inside", inside).join(carried, [*keys, "_slice"])
+    return joined.select(*df.columns, F.greatest("_inside", "_carry").alias(name))
