@@ -119,7 +119,7 @@ def _binary(spark: SparkSession, paths: Paths, schema: str, parse: Parser) -> Da
         for frame in frames:
             for model_id, file, content in zip(frame["model_id"], frame["file"], frame["content"]):
                 def table(block: list[dict], error: str | None = None) -> pd.DataFrame:
-                    out = pd.DataFrame(block or [{}], columns=columns, dtype=object)
+                    out = pd.DataFrame(block or [dict.fromkeys(columns)], columns=columns, dtype=object)
                     return out.assign(model_id=model_id, file=file, file_error=error)[["model_id", *columns, "file", "file_error"]]
 
                 block: list[dict] = []
