@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.session import cut
 
@@ -27,7 +29,7 @@ TILE_QUERIES = 8192
 _FANOUT = 64
 _MAX_DEPTH = 9
 _AXES = ("x", "y", "z")
-_CHUNK = 256
+_CHUNK = 64
 _SLACK = 1 + 1e-12
 
 
@@ -147,31 +149,58 @@ def _spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def _coordinates(frame: pd.DataFrame) -> np.ndarray:
-    return frame[["x", "y", "z"]].to_numpy(dtype=np.float64)
+def _numbers(table: pa.Table, column: str) -> np.ndarray:
+    return table[column].to_numpy()
 
 
-def _squared(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(queries), len(points)))
-    for axis in range(3):
-        difference = queries[:, axis, None] - points[None, :, axis]
-        difference *= difference
-        total += difference
-    return total
+def _coordinates(table: pa.Table) -> np.ndarray:
+    return np.stack([_numbers(table, c) for c in _AXES], axis=1)
 
 
-def _k_smallest(queries: np.ndarray, points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per block of queries: its start, the sorted distances and the point indices."""
-    keep = min(k, len(points))
-    for start in range(0, len(queries), _CHUNK):
-        squared = _squared(queries[start: start + _CHUNK], points)
-        if keep < squared.shape[1]:
-            index = np.argpartition(squared, keep - 1, axis=1)[:, :keep]
-            squared = np.take_along_axis(squared, index, axis=1)
-        else:
-            index = np.broadcast_to(np.arange(squared.shape[1]), squared.shape)
-        order = np.argsort(squared, axis=1, kind="stable")
-        yield start, np.sqrt(np.take_along_axis(squared, order, 1)), np.take_along_axis(index, order, 1)
+def _lists(parts: list[np.ndarray], values: pa.Array | None = None) -> pa.Array:
+    """List column from one array per row."""
+    ends = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=ends[1:])
+    if values is None:
+        values = pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+class _Distances:
+    """Squared distances of query blocks to one set of points, in buffers that are used again and stay in cache."""
+
+    def __init__(self, points: np.ndarray):
+        self.axes = [np.ascontiguousarray(points[:, i]) for i in range(3)]
+        self.total, self.step = (np.empty((_CHUNK, len(points))) for _ in range(2))
+
+    def __call__(self, queries: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Valid until the next call; ``among`` restricts the points."""
+        axes = self.axes if among is None else [a[among] for a in self.axes]
+        shape = (len(queries), len(axes[0]))
+        total, step = (b.ravel()[: shape[0] * shape[1]].reshape(shape) for b in (self.total, self.step))
+        np.subtract(queries[:, 0, None], axes[0], out=total)
+        np.multiply(total, total, out=total)
+        for i in (1, 2):
+            np.subtract(queries[:, i, None], axes[i], out=step)
+            np.multiply(step, step, out=step)
+            np.add(total, step, out=total)
+        return total
+
+    def near(self, queries: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Points inside the box around a block of queries and their balls."""
+        keep = np.ones(len(self.axes[0]), dtype=bool)
+        for i, axis in enumerate(self.axes):
+            keep &= (axis >= (queries[:, i] - reach).min()) & (axis <= (queries[:, i] + reach).max())
+        return np.flatnonzero(keep)
+
+
+def _blocks(queries: np.ndarray) -> Iterator[np.ndarray]:
+    """Query numbers in blocks that lie close together."""
+    low, extent = queries.min(axis=0), np.ptp(queries, axis=0)
+    cell = np.floor((queries - low) / np.where(extent > 0, extent, 1.0) * 3.999).astype(int)
+    order = np.lexsort((queries[:, 2], cell[:, 1], cell[:, 0]))
+    for start in range(0, len(order), _CHUNK):
+        yield order[start: start + _CHUNK]
 
 
 def _repeat_by_weight(distances: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -183,21 +212,36 @@ def _repeat_by_weight(distances: np.ndarray, weights: np.ndarray, k: int) -> np.
     return np.take_along_axis(padded, at, axis=1)
 
 
-def _distance_rows(
-    queries: pd.DataFrame, points: pd.DataFrame, k: int, reach: np.ndarray | None
-) -> list[np.ndarray]:
-    rows: list[np.ndarray] = []
-    weights = points["weight"].to_numpy()
+def _distance_rows(queries: pa.Table, points: pa.Table, k: int, reach: np.ndarray | None) -> list[np.ndarray]:
+    """Per query the sorted distances to its ``k`` nearest points, those beyond ``reach`` left out."""
+    at, measured = _coordinates(queries), _Distances(_coordinates(points))
+    weights = _numbers(points, "weight")
     plain = bool((weights == 1).all())
-    for start, distances, index in _k_smallest(_coordinates(queries), _coordinates(points), k):
-        if not plain:
-            distances = _repeat_by_weight(distances, weights[index], k)
+    rows: list[np.ndarray] = [np.empty(0)] * len(at)
+    for block in _blocks(at):
+        among = None if reach is None else measured.near(at[block], reach[block])
+        squared = measured(at[block], among)
+        keep = min(k, squared.shape[1])
+        if keep == 0:
+            continue
+        if plain:
+            if keep < squared.shape[1]:
+                squared.partition(keep - 1, axis=1)
+            distances = np.sqrt(np.sort(squared[:, :keep], axis=1))
+        else:
+            index = np.argpartition(squared, keep - 1, axis=1)[:, :keep]
+            best = np.take_along_axis(squared, index, axis=1)
+            order = np.argsort(best, axis=1, kind="stable")
+            index = np.take_along_axis(index, order, axis=1)
+            own = weights if among is None else weights[among]
+            distances = _repeat_by_weight(np.sqrt(np.take_along_axis(best, order, axis=1)), own[index], k)
         if reach is None:
-            keep = np.isfinite(distances)
+            ends = np.isfinite(distances).sum(axis=1)
         else:
             with np.errstate(invalid="ignore"):
-                keep = distances <= reach[start: start + len(distances), None]
-        rows.extend(d[m] for d, m in zip(distances, keep))
+                ends = (distances <= reach[block, None]).sum(axis=1)
+        for row, line, end in zip(block, distances, ends):
+            rows[row] = line[:end]
     return rows
 
 
@@ -226,12 +270,11 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
     key_type = dict(points.dtypes)[key]
     own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, distances array<double>"
 
-    def inside(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(distances=_distance_rows(frame, frame, k, None))[
-            [key, "tile", "x", "y", "z", "weight", "distances"]
-        ]
+    def inside(tile: pa.Table) -> pa.Table:
+        found = _lists(_distance_rows(tile, tile, k, None))
+        return tile.select([key, "tile", *_AXES, "weight"]).append_column("distances", found)
 
-    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(inside, own_schema)
+    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
     if not tiling.levels:
         return own.drop("tile")
     own = cut(own)
@@ -244,15 +287,14 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
     asked, copies = _salted(visits, tiling.points, key)
     cross_schema = f"{key} {key_type}, x double, y double, z double, distances array<double>"
 
-    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=[key, "x", "y", "z", "distances"])
-        found = left.assign(distances=_distance_rows(left, right, k, left["reach"].to_numpy()))
-        return found.loc[found["distances"].str.len() > 0, [key, "x", "y", "z", "distances"]]
+    def across(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _lists(_distance_rows(left, right, k, _numbers(left, "reach")) if left.num_rows else [])
+        table = left.select([key, *_AXES]).append_column("distances", found)
+        return table.filter(pa.compute.greater(pa.compute.list_value_length(found), 0))
 
     cross = (
         _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
-        .applyInPandas(across, cross_schema)
+        .applyInArrow(across, cross_schema)
     )
     merged = own.select(key, *_AXES, "weight", "distances").unionByName(cross, allowMissingColumns=True)
     all_found = F.array_sort(F.flatten(F.collect_list("distances")))
@@ -276,18 +318,21 @@ def radius_counts(
     key_type = dict(points.dtypes)[key]
     limit = radius * radius
 
-    def weights_in_reach(queries: pd.DataFrame, targets: pd.DataFrame) -> np.ndarray:
-        at, weights, coordinates = _coordinates(queries), targets["weight"].to_numpy(), _coordinates(targets)
-        blocks = [(_squared(at[i: i + _CHUNK], coordinates) <= limit) @ weights for i in range(0, len(at), _CHUNK)]
-        return np.concatenate(blocks).astype(np.int64)
+    def weights_in_reach(queries: pa.Table, targets: pa.Table) -> pa.Array:
+        if not queries.num_rows:
+            return pa.array([], pa.int64())
+        at, weights, measured = _coordinates(queries), _numbers(targets, "weight"), _Distances(_coordinates(targets))
+        found = np.zeros(len(at), dtype=np.int64)
+        for block in _blocks(at):
+            among = measured.near(at[block], np.full(len(block), radius * _SLACK))
+            found[block] = (measured(at[block], among) <= limit) @ weights[among]
+        return pa.array(found)
 
-    def inside(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(neighbors=weights_in_reach(frame, frame))[
-            [key, "tile", "x", "y", "z", "weight", "neighbors"]
-        ]
+    def inside(tile: pa.Table) -> pa.Table:
+        return tile.select([key, "tile", *_AXES, "weight"]).append_column("neighbors", weights_in_reach(tile, tile))
 
     own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, neighbors bigint"
-    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(inside, own_schema)
+    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
     if not tiling.levels:
         return own.drop("tile")
     own = cut(own)
@@ -297,14 +342,12 @@ def radius_counts(
     visit = (key, "tile", "salt")
     asked, copies = _salted(visits.filter("not covered"), tiling.points, key)
 
-    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=[key, "x", "y", "z", "neighbors"])
-        return left.assign(neighbors=weights_in_reach(left, right))[[key, "x", "y", "z", "neighbors"]]
+    def across(left: pa.Table, right: pa.Table) -> pa.Table:
+        return left.select([key, *_AXES]).append_column("neighbors", weights_in_reach(left, right))
 
     cross = (
         _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
-        .applyInPandas(across, f"{key} {key_type}, x double, y double, z double, neighbors bigint")
+        .applyInArrow(across, f"{key} {key_type}, x double, y double, z double, neighbors bigint")
     )
     covered = visits.filter("covered").select(key, *_AXES, F.col("tile_weight").alias("neighbors"))
     merged = own.drop("tile").unionByName(cross, True).unionByName(covered, True)
@@ -331,29 +374,36 @@ def nearest_neighbors(
     )
     tiling = build_tiles(places, key, max(tile_points, k + 1))
     hit = f"array<struct<distance:double,id:{id_type}>>"
-
-    def hits(queries: pd.DataFrame, targets: pd.DataFrame, reach: np.ndarray | None) -> list[list[dict]]:
-        ids = targets["ids"].to_numpy()
-        place = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        flat = np.concatenate([np.asarray(i) for i in ids])
-        at, coordinates = _coordinates(queries), _coordinates(targets)
-        rows: list[list[dict]] = []
+    hit_type = pa.struct([("distance", pa.float64()), ("id", to_arrow_type(points.schema[id_column].dataType))])
+
+    def hits(queries: pa.Table, targets: pa.Table, reach: np.ndarray | None) -> pa.Array:
+        if not queries.num_rows:
+            return pa.array([], pa.list_(hit_type))
+        groups = targets["ids"].combine_chunks()
+        flat = groups.flatten().to_numpy()
+        place = np.repeat(np.arange(targets.num_rows), pa.compute.list_value_length(groups).to_numpy())
+        at, measured = _coordinates(queries), _Distances(_coordinates(targets))
+        distances, ids = [], []
         for start in range(0, len(at), _CHUNK):
-            # the copies of one place follow each other in id order; ties between places are settled by id
-            distance = np.sqrt(_squared(at[start: start + _CHUNK], coordinates))[:, place]
-            for offset, line in enumerate(distance):
+            # ties between places are settled by id
+            block = np.sqrt(measured(at[start: start + _CHUNK]))[:, place]
+            for offset, line in enumerate(block):
                 bound = np.partition(line, k)[k] if len(line) > k + 1 else np.inf
                 if reach is not None:
                     bound = min(bound, reach[start + offset])
                 near = np.flatnonzero(line <= bound)
                 near = near[np.lexsort((flat[near], line[near]))][: k + 1]
-                rows.append([{"distance": float(line[i]), "id": flat[i].item()} for i in near])
-        return rows
+                distances.append(line[near])
+                ids.append(flat[near])
+        values = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(distances)), pa.array(np.concatenate(ids), hit_type["id"].type)], fields=list(hit_type)
+        )
+        return _lists(distances, values)
 
-    def inside(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(hits=hits(frame, frame, None))[[key, "tile", "x", "y", "z", "hits"]]
+    def inside(tile: pa.Table) -> pa.Table:
+        return tile.select([key, "tile", *_AXES]).append_column("hits", hits(tile, tile, None))
 
-    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(
+    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(
         inside, f"{key} {key_type}, tile bigint, x double, y double, z double, hits {hit}"
     )
     merged = own.drop("tile")
@@ -367,14 +417,13 @@ def nearest_neighbors(
         visit = (key, "tile", "salt")
         asked, copies = _salted(visits, tiling.points, key)
 
-        def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty:
-                return pd.DataFrame(columns=[key, "x", "y", "z", "hits"])
-            return left.assign(hits=hits(left, right, left["reach"].to_numpy()))[[key, "x", "y", "z", "hits"]]
+        def across(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = hits(left, right, _numbers(left, "reach"))
+            return left.select([key, *_AXES]).append_column("hits", found)
 
         cross = (
             _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
-            .applyInPandas(across, f"{key} {key_type}, x double, y double, z double, hits {hit}")
+            .applyInArrow(across, f"{key} {key_type}, x double, y double, z double, hits {hit}")
         )
         merged = own.drop("tile").unionByName(cross)
         merged = merged.groupBy(key, *_AXES).agg(
