@@ -171,16 +171,15 @@ def ground_planes(
     """
     key_type = dict(points.dtypes)[key]
     narrow = points.select(key, F.col(id_column).alias("id"), *_AXES)
-    drawn = narrow.withColumn("_h", F.xxhash64(F.lit(seed), "id", *_AXES))
+    sizes = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("num_points"))
     wanted = 3 * iterations
-    by_salt = Window.partitionBy(key, "_salt").orderBy("_h", "id", *_AXES)
-    by_cloud = Window.partitionBy(key).orderBy("_h", "id", *_AXES)
-    sample = (
-        drawn.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(256)))
-        .withColumn("_rank", F.row_number().over(by_salt)).filter(F.col("_rank") <= wanted)
-        .withColumn("_rank", F.row_number().over(by_cloud)).filter(F.col("_rank") <= wanted)
-        .select(key, *_AXES)
+    # a hash threshold keeps about eight times the wanted number, so the ranking below is small for any cloud
+    share = F.least(F.lit(1.0), F.lit(8.0 * wanted) / F.col("num_points"))
+    drawn = narrow.join(sizes, key).withColumn("_h", F.xxhash64(F.lit(seed), "id", *_AXES)).filter(
+        F.pmod("_h", F.lit(1 << 40)) < share * float(1 << 40)
     )
+    by_cloud = Window.partitionBy(key).orderBy("_h", "id", *_AXES)
+    sample = drawn.withColumn("_rank", F.row_number().over(by_cloud)).filter(F.col("_rank") <= wanted).select(key, *_AXES)
 
     def hypotheses(frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
@@ -201,7 +200,6 @@ def ground_planes(
     planes = cut(sample.groupBy(key).applyInPandas(
         hypotheses, f"{key} {key_type}, hypothesis bigint, a double, b double, c double, d double"
     ))
-    sizes = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("num_points"))
     chunks = sizes.withColumn("_chunks", F.ceil(F.col("num_points") / chunk_points).cast("int")).select(key, "_chunks")
     salted_points = narrow.join(chunks, key).withColumn(
         "_salt", F.pmod(F.xxhash64("id", *_AXES), F.col("_chunks")).cast("int")
@@ -247,16 +245,13 @@ def stage_counts(stages: Sequence[tuple[str, DataFrame]], key: str = "cloud_id")
     return reduce(DataFrame.unionByName, parts)
 
 
-def stage_report(counts: DataFrame, key: str = "cloud_id") -> DataFrame:
+def stage_report(counts: DataFrame, names: Sequence[str], key: str = "cloud_id") -> DataFrame:
     """Removed points and retention from stage to stage and against the input.
 
-    A cloud that a stage emptied has no row for it; the stage list is completed with zero first.
+    A cloud that a stage emptied has no row in ``counts``; the list of stages is completed with zero first.
     """
-    names = counts.select("stage_no", "stage").distinct()
-    clouds = counts.select(key).distinct()
-    # one row per cloud and stage: the stage list is as long as the job's argument list
-    listed = names.agg(F.collect_list(F.struct("stage_no", "stage")).alias("_s"))
-    grid = clouds.crossJoin(F.broadcast(listed)).select(key, F.inline("_s"))
+    listed = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(n).alias("stage")) for i, n in enumerate(names)])
+    grid = counts.select(key).distinct().select(key, F.inline(listed))
     full = grid.join(counts, [key, "stage_no", "stage"], "left").fillna(0, ["points"])
     order = Window.partitionBy(key).orderBy("stage_no")
     before = F.lag("points").over(order)

@@ -27,6 +27,7 @@ TILE_POINTS = 1024
 TILE_QUERIES = 8192
 
 _FANOUT = 64
+_FEW_TILES = 12
 _MAX_DEPTH = 9
 _AXES = ("x", "y", "z")
 _CHUNK = 64
@@ -48,7 +49,9 @@ def _split_rule(tile_points: int, depth: int) -> list[Column]:
     spread = sum(((e > 0).cast("int") for e in extents[1:]), (extents[0] > 0).cast("int"))
     rest = F.least(spread, F.lit(3 - depth % 3))
     fill = F.col("n") / (0.8 * tile_points)
-    parts = F.greatest(F.lit(2), F.least(F.lit(_FANOUT), F.ceil(F.pow(fill, 1 / rest)).cast("int")))
+    # few tiles are made in one cut, many by cutting the three axes in turn
+    parts = F.ceil(F.when(fill <= _FEW_TILES, fill).otherwise(F.pow(fill, 1 / rest))).cast("int")
+    parts = F.greatest(F.lit(2), F.least(F.lit(_FANOUT), parts))
     widest = F.greatest(*extents)
     axis = F.when(extents[0] == widest, 0).when(extents[1] == widest, 1).otherwise(2)
     quantiles = F.when(axis == 0, F.col("q_x")).when(axis == 1, F.col("q_y")).otherwise(F.col("q_z"))
@@ -144,7 +147,7 @@ def _salted(visits: DataFrame, points: DataFrame, key: str) -> tuple[DataFrame,
     return queries, copies
 
 
-def _spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partitions of a fixed number: few bytes here still mean much work, so they must not be coalesced."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
@@ -274,7 +277,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
         found = _lists(_distance_rows(tile, tile, k, None))
         return tile.select([key, "tile", *_AXES, "weight"]).append_column("distances", found)
 
-    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
+    own = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
     if not tiling.levels:
         return own.drop("tile")
     own = cut(own)
@@ -293,7 +296,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
         return table.filter(pa.compute.greater(pa.compute.list_value_length(found), 0))
 
     cross = (
-        _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
+        spread(asked, *visit).groupBy(*visit).cogroup(spread(copies, *visit).groupBy(*visit))
         .applyInArrow(across, cross_schema)
     )
     merged = own.select(key, *_AXES, "weight", "distances").unionByName(cross, allowMissingColumns=True)
@@ -332,7 +335,7 @@ def radius_counts(
         return tile.select([key, "tile", *_AXES, "weight"]).append_column("neighbors", weights_in_reach(tile, tile))
 
     own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, neighbors bigint"
-    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
+    own = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
     if not tiling.levels:
         return own.drop("tile")
     own = cut(own)
@@ -346,7 +349,7 @@ def radius_counts(
         return left.select([key, *_AXES]).append_column("neighbors", weights_in_reach(left, right))
 
     cross = (
-        _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
+        spread(asked, *visit).groupBy(*visit).cogroup(spread(copies, *visit).groupBy(*visit))
         .applyInArrow(across, f"{key} {key_type}, x double, y double, z double, neighbors bigint")
     )
     covered = visits.filter("covered").select(key, *_AXES, F.col("tile_weight").alias("neighbors"))
@@ -403,7 +406,7 @@ def nearest_neighbors(
     def inside(tile: pa.Table) -> pa.Table:
         return tile.select([key, "tile", *_AXES]).append_column("hits", hits(tile, tile, None))
 
-    own = _spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(
+    own = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(
         inside, f"{key} {key_type}, tile bigint, x double, y double, z double, hits {hit}"
     )
     merged = own.drop("tile")
@@ -422,7 +425,7 @@ def nearest_neighbors(
             return left.select([key, *_AXES]).append_column("hits", found)
 
         cross = (
-            _spread(asked, *visit).groupBy(*visit).cogroup(_spread(copies, *visit).groupBy(*visit))
+            spread(asked, *visit).groupBy(*visit).cogroup(spread(copies, *visit).groupBy(*visit))
             .applyInArrow(across, f"{key} {key_type}, x double, y double, z double, hits {hit}")
         )
         merged = own.drop("tile").unionByName(cross)

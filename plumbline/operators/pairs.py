@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.neighbors import TILE_POINTS, build_tiles, nearest_neighbors
+from plumbline.operators.neighbors import TILE_POINTS, build_tiles, nearest_neighbors, spread
 from plumbline.operators.ordering import with_position
 from plumbline.session import cut
 
@@ -74,7 +74,8 @@ def similar_pairs(
     types = dict(vectors.dtypes)
     id_type = types[id_column]
     rows = vectors.select(key, F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumn("place", F.xxhash64("v"))
+    # two hashes name a place, so that different vectors do not share one
+    rows = rows.withColumn("place", F.concat_ws("/", F.xxhash64("v").cast("string"), F.xxhash64(F.lit(1), "v").cast("string")))
     same = Window.partitionBy(key, "place").orderBy("id")
     kept = rows.withColumn("_rank", F.row_number().over(same)).filter(F.col("_rank") <= k + 1)
     places = cut(kept.groupBy(key, "place").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
@@ -107,7 +108,7 @@ def similar_pairs(
         ]
         located = places.select(key, "place", "ids", "v", F.lit(1).cast("bigint").alias("weight"), *[p.alias(a) for p, a in zip(projected, "xyz")])
         tiling = build_tiles(located, key, tile_points)
-        hits = tiling.points.groupBy(key, "tile").applyInPandas(compare, f"{key} {types[key]}, place bigint, hits {hit}")
+        hits = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(compare, f"{key} {types[key]}, place string, hits {hit}")
         found = hits if found is None else found.unionByName(hits)
         if not tiling.levels:
             break

@@ -32,7 +32,7 @@ def clean(points: DataFrame, plan: CloudCleaning = CloudCleaning(), cloud_meta:
         current = cut(clouds.voxel_downsample(current, plan.voxel_size))
         stages.append(("voxel_downsample", current))
     after = cut(clouds.validate_clouds(current))
-    rows = cut(clouds.stage_report(clouds.stage_counts(stages)))
+    rows = cut(clouds.stage_report(clouds.stage_counts(stages), [name for name, _ in stages]))
     tables = {"points": current, "before": before, "after": after, "stages": rows,
               "report": cleaning_report(before, after, rows, cloud_meta, plan.voxel_size)}
     if plan.ground_enabled:

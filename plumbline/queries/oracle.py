@@ -82,6 +82,19 @@ SELECT a.point_id, count(*) AS neighbors FROM v_points a JOIN v_points b
   ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.15e0*0.15e0 GROUP BY a.point_id"""
 
 
+_VOXEL4 = _voxels("judged", 4.0).replace("FROM judged JOIN", "FROM (SELECT * FROM judged WHERE keep) judged JOIN").replace(
+    "FROM judged GROUP", "FROM judged WHERE keep GROUP"
+).split(",\nvoxels AS")[0]
+ORACLE["cloud_cleaning"] = f"""
+WITH {using('v_points_big')}, {_sor('v_points_big').replace('p.y, d.mean', 'p.y, p.z, d.mean')}, {_VOXEL4},
+n AS (SELECT a.cloud_id, a.n AS n0, b.n AS n1, c.n AS n2 FROM (SELECT cloud_id, count(*) AS n FROM v_points_big GROUP BY 1) a
+  JOIN (SELECT cloud_id, count(*) AS n FROM judged WHERE keep GROUP BY 1) b USING (cloud_id)
+  JOIN (SELECT cloud_id, count(*) AS n FROM (SELECT DISTINCT cloud_id, vx, vy, vz FROM cells) GROUP BY 1) c USING (cloud_id))
+SELECT cloud_id, 0 AS stage_no, 'input' AS stage, n0 AS points, CAST(0 AS BIGINT) AS removed_points, 1e0 AS stage_retention, 1e0 AS total_retention, false AS excessive_removal FROM n
+UNION ALL SELECT cloud_id, 1, 'statistical_outliers', n1, n0 - n1, round(n1/n0, 4), round(n1/n0, 4), n1/n0 < 0.3 FROM n
+UNION ALL SELECT cloud_id, 2, 'voxel_downsample', n2, n1 - n2, round(n2/n1, 4), round(n2/n0, 4), n2/n0 < 0.3 FROM n"""
+
+
 def _nearest(k: int) -> str:
     return f"""near AS (SELECT a.point_id, b.point_id AS neighbor_id,
    sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS distance
@@ -296,6 +309,11 @@ _CUTOFF = """med AS (SELECT flight_id, median(step) AS median FROM steps GROUP B
 mads AS (SELECT flight_id, median(abs(step - median)) AS mad FROM steps JOIN med USING (flight_id) GROUP BY 1),
 cut AS (SELECT flight_id, median, CASE WHEN mad < 1e-7 THEN greatest(median*3, 1e-4) ELSE median + 3.5*mad END AS cutoff FROM med JOIN mads USING (flight_id))"""
 
+ORACLE["pose_records"] = f"""
+WITH {using('v_images')}
+SELECT image_id, camera_id, replace(name, '.jpg', '') AS frame_id, name AS image_name, 'world_to_camera' AS pose_type,
+       round(round(-cos((image_id % 360)*pi()/180)*tx, 6), 4) AS x, round(round(sin((image_id % 360)*pi()/180)*tx, 6), 4) AS y, 0e0 AS z FROM v_images"""
+
 ORACLE["jump_flags"] = f"""
 WITH {_STEPS}, {_CUTOFF}
 SELECT flight_id, transition, round(step, 4) AS step, round(median, 4) AS median, round(cutoff, 4) AS cutoff

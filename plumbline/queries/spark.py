@@ -64,7 +64,7 @@ def stage_report(spark, sf_dir):
     points = view(spark, sf_dir, "v_points_big")
     coarse = clouds.voxel_downsample(points, 8.0)
     counts = clouds.stage_counts([("input", points), ("voxel_downsample", coarse)])
-    return rounded(clouds.stage_report(counts))
+    return rounded(clouds.stage_report(counts, ["input", "voxel_downsample"]))
 
 
 @query
@@ -103,6 +103,16 @@ def knn_topk(spark, sf_dir):
     return near.select("point_id", "neighbor_rank", "neighbor_id", *r4("distance"))
 
 
+@query
+def cloud_cleaning(spark, sf_dir):
+    from plumbline.params import CloudCleaning
+    from plumbline.plans.cloud_cleaning import clean
+
+    plan = CloudCleaning(neighbors=20, std_ratio=2.0, voxel_size=4.0)
+    stages = clean(view(spark, sf_dir, "v_points_big"), plan)["stages"]
+    return rounded(stages)
+
+
 @query
 def plane_fit(spark, sf_dir):
     return clouds.ground_planes(view(spark, sf_dir, "v_points_big"), 0.5, 200)
@@ -302,6 +312,17 @@ def trajectory_steps(spark, sf_dir):
     return _steps(spark, sf_dir).select("flight_id", "transition", "name", "ordered_by", *r4("step", "rotation_deg"))
 
 
+@query
+def pose_records(spark, sf_dir):
+    from plumbline.sinks.documents import pose_records as records
+
+    poses = records(view(spark, sf_dir, "v_images"))
+    return poses.select(
+        "image_id", "camera_id", "frame_id", "image_name", "pose_type",
+        *[fixed(F.col("position")[i] + 0.0).alias(c) for i, c in enumerate("xyz")],
+    )
+
+
 @query
 def jump_flags(spark, sf_dir):
     moves = trajectory.jump_flags(_steps(spark, sf_dir), "step")

@@ -23,9 +23,12 @@ def choose_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     )
     # the folders are the caller's argument list
     listed = spark.createDataFrame([(f.rstrip("/"),) for f in folders], "folder string")
-    ranked = files.join(F.broadcast(listed), F.col("file").startswith(F.concat("folder", F.lit("/")))).withColumn(
-        "_place", F.array_position(F.array(*[F.lit(s) for s in SEARCH_ORDER]), F.expr("substring(file, length(folder) + 2)"))
-    ).filter("_place > 0")
+    places = F.array_compact(F.array(*[
+        F.when(F.col("file").endswith(f"/{s}"), F.struct(
+            F.lit(i).alias("_place"), F.expr(f"substring(file, 1, length(file) - {len(s) + 1})").alias("folder")))
+        for i, s in enumerate(SEARCH_ORDER)
+    ]))
+    ranked = files.select("file", F.inline(places)).join(listed, "folder")
     best = ranked.groupBy("folder").agg(F.min_by("file", "_place").alias("file"))
     return best.select(
         F.regexp_extract("folder", r"([^/]+)$", 1).alias("cloud_id"), "folder", "file", F.substring_index("file", ".", -1).alias("kind")

@@ -220,8 +220,8 @@ def find_models(spark: SparkSession, roots: Paths) -> DataFrame:
     ).filter("_bin OR _txt")
     # the roots are the caller's argument list
     listed = spark.createDataFrame([(r.rstrip("/"),) for r in roots], "root string")
-    near = folders.join(F.broadcast(listed), (F.col("folder") == F.col("root")) | (
-        F.regexp_extract("folder", r"^(.*)/[^/]+$", 1) == F.col("root")))
+    parent = F.regexp_extract("folder", r"^(.*)/[^/]+$", 1)
+    near = folders.withColumn("root", F.explode(F.array("folder", parent))).join(listed, "root")
     rank = F.struct((F.col("folder") != F.col("root")).alias("deep"), "folder")
     return near.groupBy("root").agg(
         F.min_by("folder", rank).alias("folder"), F.min_by(F.when(F.col("_bin"), "binary").otherwise("text"), rank).alias("format")
