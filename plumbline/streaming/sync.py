@@ -71,7 +71,7 @@ def nearest_fix_stream(
     slice needs no other one, a busy flight is many keys, and closed slices leave nothing behind. Rows later than the
     watermark are dropped by Spark. Append mode.
     """
-    width = 2 * tolerance if width is None else width
+    width = 8 * tolerance if width is None else width
     at = F.floor(F.col("ts_s") / width)
     low, high = F.floor((F.col("ts_s") - tolerance) / width), F.floor((F.col("ts_s") + tolerance) / width)
     slices = F.when(F.col("side") == "gps", F.sequence(low, high)).otherwise(F.array(at))
