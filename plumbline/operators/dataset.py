@@ -113,11 +113,12 @@ def intrinsics(matched: DataFrame, poses: DataFrame, key: str = "scene_id") -> D
 
 
 def manifest_frames(
-    matched: DataFrame, normalized_poses: DataFrame, key: str = "scene_id", folder: str = "images"
+    matched: DataFrame, normalized_poses: DataFrame, key: str = "scene_id", folder: str = "images",
+    hot_rows: float | None = None,
 ) -> DataFrame:
     """One manifest row per matched image: path, 4x4 matrix, 1-based number in name order and frame id."""
     rows = matched.filter("match_status = 'matched'").select(key, "pose_no", "image_name", "frame_id")
-    numbered = with_position(rows, [key], [F.col("image_name"), F.col("pose_no")], name="colmap_im_id")
+    numbered = with_position(rows, [key], [F.col("image_name"), F.col("pose_no")], name="colmap_im_id", hot_rows=hot_rows)
     matrices = normalized_poses.select(
         key, "pose_no",
         R.homogeneous([F.col("c2w")[i] for i in range(9)], [F.col(c) for c in ("x", "y", "z")]).alias("transform_matrix"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import padded
-from plumbline.operators.ordering import largest_group, with_position
+from plumbline.operators.ordering import largest_group, measured, with_position
 from plumbline.params import IMAGE_EXTENSIONS, FrameGate
 from plumbline.session import cut
 
@@ -179,7 +179,8 @@ def select_frames(
     fallback = F.col("_passed") == 0
     accepted = F.when(fallback, F.col("readable")).otherwise(F.col("gate_reason").isNull())
     tagged = tagged.withColumn("accepted", accepted).withColumn("fallback", fallback)
-    ranked = with_position(tagged, [key, "accepted"], [F.col(order)], name="_rank")
+    limit = measured(frames, [key])
+    ranked = with_position(tagged, [key, "accepted"], [F.col(order)], name="_rank", hot_rows=limit)
     number = F.when(F.col("fallback"), F.col(order) + 1).otherwise(F.col("_rank"))
     frame_id = (
         F.when(F.col("accepted"), F.concat(F.lit("frame_"), padded(number)))
@@ -219,18 +220,20 @@ def stride_sample(frames: DataFrame, target: int, key: str = "video_id", order:
 
 
 def within_budget(
-    scanned: DataFrame, target: int, key: str = "video_id", order: str = "source_idx", accepted: str = "accepted"
+    scanned: DataFrame, target: int, key: str = "video_id", order: str = "source_idx", accepted: str = "accepted",
+    hot_rows: float | None = None,
 ) -> DataFrame:
     """Frames looked at before the scan stops, which it does at the frame that fills 1.5 times the target."""
     limit = math.ceil(1.5 * target)
-    kept = with_position(scanned.filter(accepted).select(key, order), [key], [F.col(order)], name="_rank")
+    kept = with_position(
+        scanned.filter(accepted).select(key, order), [key], [F.col(order)], name="_rank", hot_rows=hot_rows)
     last = kept.filter(F.col("_rank") == limit).select(key, F.col(order).alias("_stop"))
     joined = scanned.join(last, key, "left")
     return joined.filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
 
 
 def uniform_subset(
-    items: DataFrame, maximum: int, key: str, order: Sequence[Column], hot_rows: int | None = None
+    items: DataFrame, maximum: int, key: str, order: Sequence[Column], hot_rows: float | None = None
 ) -> DataFrame:
     """At most ``maximum`` evenly spaced rows per key, first and last included, renumbered as ``new_index``."""
     placed = with_position(items, [key], order, hot_rows=hot_rows)

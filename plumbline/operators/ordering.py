@@ -7,6 +7,7 @@ whose tasks are bounded: range partitions with one carried row per partition, or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +28,23 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return row["n"] or 0
 
 
-def is_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> bool:
+def measured(df: DataFrame, keys: Sequence[str]) -> float:
+    """A ``hot_rows`` value for several operators on rows derived from ``df``, so that the largest key is measured once.
+
+    Callers pass the plain input table, not the joins built on it.
+    """
+    return 0 if largest_group(df.select(*keys), keys) > HOT_ROWS else math.inf
+
+
+def is_hot(df: DataFrame, keys: Sequence[str], hot_rows: float | None) -> bool:
+    """Whether a key exceeds ``hot_rows``; 0 and infinity answer without a job."""
+    if hot_rows in (0, math.inf):
+        return hot_rows == 0
     return largest_group(df, keys) > (HOT_ROWS if hot_rows is None else hot_rows)
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "pos", hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "pos", hot_rows: float | None = None
 ) -> DataFrame:
     """Add the 1-based rank of each row within its key; ``order`` must be total within a key."""
     if not is_hot(df, keys, hot_rows):
@@ -58,7 +70,7 @@ def with_previous(
     order: Sequence[Column],
     columns: Sequence[str],
     name: str = "pos",
-    hot_rows: int | None = None,
+    hot_rows: float | None = None,
 ) -> DataFrame:
     """Add the position and the values the listed columns had one row earlier as ``prev_<column>``."""
     if not is_hot(df, keys, hot_rows):
@@ -78,7 +90,7 @@ def with_next(
     order: Sequence[Column],
     columns: Sequence[str],
     name: str = "pos",
-    hot_rows: int | None = None,
+    hot_rows: float | None = None,
 ) -> DataFrame:
     """Like :func:`with_previous`, one row later, as ``next_<column>``."""
     if not is_hot(df, keys, hot_rows):
@@ -91,7 +103,7 @@ def with_next(
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", hot_rows: float | None = None
 ) -> DataFrame:
     """Exact median per key.
 

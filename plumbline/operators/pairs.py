@@ -15,7 +15,7 @@ from plumbline.session import cut
 
 
 def sequential_pairs(
-    images: DataFrame, overlap: int, key: str, id_column: str, order: Sequence[Column], hot_rows: int | None = None
+    images: DataFrame, overlap: int, key: str, id_column: str, order: Sequence[Column], hot_rows: float | None = None
 ) -> DataFrame:
     """Each image with its next ``overlap`` images in order; an equi-join on positions, also for one long video."""
     placed = with_position(images, [key], order, hot_rows=hot_rows).select(key, "pos", F.col(id_column).alias("id"))
@@ -26,7 +26,7 @@ def sequential_pairs(
 
 
 def exhaustive_ranges(
-    images: DataFrame, key: str, id_column: str, order: Sequence[Column], hot_rows: int | None = None
+    images: DataFrame, key: str, id_column: str, order: Sequence[Column], hot_rows: float | None = None
 ) -> DataFrame:
     """All pairs, written as the range of partner positions of each image.
 

@@ -40,7 +40,7 @@ def run_status(events: DataFrame, key: str = "run_id", order: Sequence[str] = ("
 
 
 def stage_durations(
-    events: DataFrame, key: str = "run_id", order: Sequence[str] = ("ts_s", "seq"), hot_rows: int | None = None
+    events: DataFrame, key: str = "run_id", order: Sequence[str] = ("ts_s", "seq"), hot_rows: float | None = None
 ) -> DataFrame:
     """Each transition with the seconds until the next one of its run."""
     stepped = with_next(events, [key], [F.col(c) for c in order], ["ts_s"], hot_rows=hot_rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.functions import rotation as R
-from plumbline.operators.ordering import exact_median, is_hot, with_position, with_previous
+from plumbline.operators.ordering import exact_median, is_hot, measured, with_position, with_previous
 
 MAD_FACTOR = 3.5
 FLAT_MAD = 1e-7
@@ -33,25 +33,27 @@ def with_order_key(images: DataFrame, key: str = "flight_id", name: str = "name"
 
 
 def frame_order(
-    images: DataFrame, key: str = "flight_id", name: str = "name", tie: str = "image_id", hot_rows: int | None = None
+    images: DataFrame, key: str = "flight_id", name: str = "name", tie: str = "image_id", hot_rows: float | None = None
 ) -> DataFrame:
     """Images with their 1-based ``pos`` in flight order."""
+    limit = measured(images, [key]) if hot_rows is None else hot_rows
     keyed = with_order_key(images, key, name)
-    return with_position(keyed, [key], [F.col("sort_no"), F.col(name), F.col(tie)], hot_rows=hot_rows)
+    return with_position(keyed, [key], [F.col("sort_no"), F.col(name), F.col(tie)], hot_rows=limit)
 
 
 def steps(
-    images: DataFrame, key: str = "flight_id", name: str = "name", tie: str = "image_id", hot_rows: int | None = None
+    images: DataFrame, key: str = "flight_id", name: str = "name", tie: str = "image_id", hot_rows: float | None = None
 ) -> DataFrame:
     """One row per transition between consecutive frames: 0-based ``transition``, ``step`` and ``rotation_deg``.
 
     ``images`` carries ``x, y, z`` and ``rot`` (see :func:`with_centers`).
     """
+    limit = measured(images, [key]) if hot_rows is None else hot_rows
     keyed = with_order_key(images, key, name).select(
         key, "sort_no", "ordered_by", F.col(name).alias("name"), F.col(tie).alias("tie"), "x", "y", "z", "rot"
     )
     moved = with_previous(
-        keyed, [key], [F.col("sort_no"), F.col("name"), F.col("tie")], ["x", "y", "z", "rot"], hot_rows=hot_rows
+        keyed, [key], [F.col("sort_no"), F.col("name"), F.col("tie")], ["x", "y", "z", "rot"], hot_rows=limit
     ).filter("pos > 1")
     gaps = [F.col(c) - F.col(f"prev_{c}") for c in ("x", "y", "z")]
     angle = R.relative_angle_deg([F.col("prev_rot")[i] for i in range(9)], [F.col("rot")[i] for i in range(9)])
@@ -102,9 +104,11 @@ def trajectory_stats(
     max_position_jump: float | None = None,
     max_rotation_jump: float | None = None,
     key: str = "flight_id",
+    hot: bool | None = None,
 ) -> DataFrame:
     """Mean, median and largest step and rotation, jump counts, and PASS or WARNING, per flight with two frames."""
-    hot = is_hot(flight_steps, [key], None)
+    if hot is None:
+        hot = is_hot(flight_steps, [key], None)
     moves = jump_cutoffs(flight_steps, "step", max_position_jump, key, hot)
     turns = jump_cutoffs(flight_steps, "rotation_deg", max_rotation_jump, key, hot)
     joined = flight_steps.join(

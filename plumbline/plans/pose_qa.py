@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import reprojection, trajectory
-from plumbline.operators.ordering import is_hot
+from plumbline.operators.ordering import is_hot, measured
 
 
 def verdicts(
@@ -27,8 +27,9 @@ def verdicts(
     key = "model_id"
     rates = reprojection.registration_rate(images, inputs, key, minimum_rate)
     pixels = reprojection.reprojection_stats(errors, key, max_rmse, partial, hot)
-    moves = trajectory.steps(trajectory.with_centers(images), key)
-    paths = trajectory.trajectory_stats(moves, max_position_jump, max_rotation_jump, key)
+    limit = measured(images, [key])
+    moves = trajectory.steps(trajectory.with_centers(images), key, hot_rows=limit)
+    paths = trajectory.trajectory_stats(moves, max_position_jump, max_rotation_jump, key, hot=limit == 0)
     joined = rates.join(pixels, key, "left").join(paths.withColumnRenamed("status", "_path"), key, "left")
     trajectory_check = (
         F.when(F.col("registered_images") >= 2, F.col("_path"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import dataset
+from plumbline.operators.ordering import measured
 
 KEY = "scene_id"
 
@@ -41,7 +42,7 @@ def prepare(
     scenes = counts.withColumn("status", F.when(F.col("matched") > 0, "READY").otherwise("FAILED"))
     tables = {
         "match": matched,
-        "frames": dataset.manifest_frames(matched, placed),
+        "frames": dataset.manifest_frames(matched, placed, hot_rows=measured(images, [KEY])),
         "intrinsics": dataset.intrinsics(matched, poses),
         "normalization": normalization,
         "record": dataset.normalization_record(normalization, matched, target_radius),

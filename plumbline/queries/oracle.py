@@ -314,6 +314,12 @@ WITH {using('v_images')}
 SELECT image_id, camera_id, replace(name, '.jpg', '') AS frame_id, name AS image_name, 'world_to_camera' AS pose_type,
        round(round(-cos((image_id % 360)*pi()/180)*tx, 6), 4) AS x, round(round(sin((image_id % 360)*pi()/180)*tx, 6), 4) AS y, 0e0 AS z FROM v_images"""
 
+ORACLE["normalized_extrinsics"] = f"""
+WITH {using('v_images')}
+SELECT flight_id, image_id AS index, name AS image_name, replace(name, '.jpg', '') AS frame_id,
+       round(round(-cos((image_id % 360)*pi()/180)*tx, 6), 4) AS x, round(round(sin((image_id % 360)*pi()/180)*tx, 6), 4) AS y, 0e0 AS z,
+       round(round(abs(cos((image_id % 360)*pi()/360)), 6), 4) AS qw FROM v_images"""
+
 ORACLE["jump_flags"] = f"""
 WITH {_STEPS}, {_CUTOFF}
 SELECT flight_id, transition, round(step, 4) AS step, round(median, 4) AS median, round(cutoff, 4) AS cutoff

@@ -15,6 +15,7 @@ from plumbline.operators import (
     attempts, clouds, dataset, depth, frames, gps, masks, neighbors, pairs, reprojection, runs, similarity, splats,
     timesync, trajectory,
 )
+from plumbline.operators.ordering import measured
 from plumbline.params import FrameGate
 from plumbline.queries.views import table, view
 
@@ -293,7 +294,8 @@ def reprojection_errors(spark, sf_dir):
 def reprojection_stats(spark, sf_dir):
     flights = view(spark, sf_dir, "v_images").select("image_id", "flight_id")
     by_flight = _errors(spark, sf_dir).join(flights, "image_id")
-    return rounded(reprojection.reprojection_stats(by_flight, "flight_id"))
+    hot = measured(view(spark, sf_dir, "v_observations"), ["model_id"]) == 0
+    return rounded(reprojection.reprojection_stats(by_flight, "flight_id", hot=hot))
 
 
 @query
@@ -323,6 +325,22 @@ def pose_records(spark, sf_dir):
     )
 
 
+@query
+def normalized_extrinsics(spark, sf_dir):
+    from plumbline.operators.poses import normalize_extrinsics
+
+    images = view(spark, sf_dir, "v_images")
+    turn = R.quaternion_to_matrix(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    rows = [F.array(*turn[3 * i: 3 * i + 3], F.col(t)) for i, t in enumerate(("tx", "ty", "tz"))]
+    predicted = images.select("flight_id", F.col("image_id").alias("index"), F.array(*rows).alias("extrinsic"))
+    known = images.filter("camera_id <> 0").select("flight_id", F.col("image_id").alias("index"), F.col("name").alias("image_name"))
+    poses = normalize_extrinsics(predicted, known, "flight_id")
+    return poses.select(
+        "flight_id", "index", "image_name", "frame_id", *[fixed(F.col("position")[i] + 0.0).alias(c) for i, c in enumerate("xyz")],
+        fixed(F.col("rotation_quaternion")[0]).alias("qw"),
+    )
+
+
 @query
 def jump_flags(spark, sf_dir):
     moves = trajectory.jump_flags(_steps(spark, sf_dir), "step")
@@ -331,7 +349,9 @@ def jump_flags(spark, sf_dir):
 
 @query
 def trajectory_stats(spark, sf_dir):
-    return rounded(trajectory.trajectory_stats(_steps(spark, sf_dir), max_rotation_jump=179.5))
+    limit = measured(view(spark, sf_dir, "v_images"), ["flight_id"])
+    moves = trajectory.steps(trajectory.with_centers(view(spark, sf_dir, "v_images")), hot_rows=limit)
+    return rounded(trajectory.trajectory_stats(moves, max_rotation_jump=179.5, hot=limit == 0))
 
 
 @query

@@ -36,7 +36,7 @@ def read_cameras_text(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
-def read_images_text(spark: SparkSession, paths: Paths, hot_rows: int | None = None) -> DataFrame:
+def read_images_text(spark: SparkSession, paths: Paths, hot_rows: float | None = None) -> DataFrame:
     """Images with their observations, two lines each: pose, then ``x y point_id`` triples, possibly none.
 
     Blank lines before a pose are skipped. After any blank line a pose is expected next, so whether a line is a pose

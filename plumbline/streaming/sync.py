@@ -81,27 +81,6 @@ def nearest_fix_stream(
     )
 
 
-def interval_candidates(poses: DataFrame, fixes: DataFrame, tolerance: float, delay: str, key: str = "flight_id") -> DataFrame:
-    """All fixes within ``tolerance`` of each pose as a stream-stream interval join.
-
-    Inner join in append mode; the nearest one per pose is one more aggregation over its output. The time slice in
-    the join key spreads a busy flight over many tasks.
-    """
-    width = tolerance
-    at = lambda c: F.floor(F.unix_micros(c) / 1e6 / width)
-    left = poses.withWatermark("pose_time", delay).withColumn("slice", at("pose_time"))
-    right = fixes.withWatermark("gps_time", delay).withColumn(
-        "slice", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: at("gps_time") + d))
-    )
-    bound = F.expr(
-        f"gps_time BETWEEN pose_time - INTERVAL {tolerance} SECONDS AND pose_time + INTERVAL {tolerance} SECONDS"
-    )
-    return left.alias("p").join(right.alias("g"), (F.col(f"p.{key}") == F.col(f"g.{key}")) & (F.col("p.slice") == F.col("g.slice")) & bound)
-
-
-def pick_nearest(candidates: DataFrame, pose_columns: list[str]) -> DataFrame:
-    """Nearest candidate per pose from the written output of :func:`interval_candidates` (batch)."""
-    diff = F.abs(F.unix_micros("pose_time") - F.unix_micros("gps_time")) / 1e6
-    return candidates.withColumn("_d", diff).groupBy(*pose_columns).agg(
-        F.min(F.struct("_d", "gps_time", "seq")).alias("_b")
-    ).select(*pose_columns, F.col("_b.seq").alias("gps_seq"), F.col("_b._d").alias("time_diff_s"))
+def dropped_rows(progress: list[dict]) -> int:
+    """Rows that came too late, from a query's ``recentProgress``; a fix counts once per slice it belongs to."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p.get("stateOperators", []))
