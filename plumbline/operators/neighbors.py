@@ -26,9 +26,11 @@ TILE_POINTS = 1024
 #: queries that one task answers for one tile
 TILE_QUERIES = 8192
 
-_FANOUT = 64
-_FEW_TILES = 12
-_MAX_DEPTH = 9
+#: parts one axis can be cut into at once, and room for the parts of one node in a tile number
+_QUANTILES = 64
+_BASE = 256
+_GRID_PASSES = 2
+_MAX_DEPTH = 7
 _AXES = ("x", "y", "z")
 _CHUNK = 64
 _SLACK = 1 + 1e-12
@@ -43,42 +45,57 @@ class Tiling:
     levels: list[DataFrame]
 
 
-def _split_rule(tile_points: int, depth: int) -> list[Column]:
-    """Axis, part count and cut positions of a node, from its aggregates."""
-    extents = [F.col(f"max_{a}") - F.col(f"min_{a}") for a in _AXES]
-    spread = sum(((e > 0).cast("int") for e in extents[1:]), (extents[0] > 0).cast("int"))
-    rest = F.least(spread, F.lit(3 - depth % 3))
-    fill = F.col("n") / (0.8 * tile_points)
-    # few tiles are made in one cut, many by cutting the three axes in turn
-    parts = F.ceil(F.when(fill <= _FEW_TILES, fill).otherwise(F.pow(fill, 1 / rest))).cast("int")
-    parts = F.greatest(F.lit(2), F.least(F.lit(_FANOUT), parts))
-    widest = F.greatest(*extents)
-    axis = F.when(extents[0] == widest, 0).when(extents[1] == widest, 1).otherwise(2)
-    quantiles = F.when(axis == 0, F.col("q_x")).when(axis == 1, F.col("q_y")).otherwise(F.col("q_z"))
-    low = F.when(axis == 0, F.col("min_x")).when(axis == 1, F.col("min_y")).otherwise(F.col("min_z"))
+def _inner_cuts(quantiles: Column, parts: Column, low: Column, high: Column) -> Column:
     picks = F.transform(
-        F.sequence(F.lit(1), parts - 1), lambda i: F.element_at(quantiles, F.round(i * _FANOUT / parts).cast("int"))
+        F.sequence(F.lit(1), parts - 1), lambda i: F.element_at(quantiles, F.round(i * _QUANTILES / parts).cast("int"))
     )
-    # a cut at the minimum would leave an empty part
-    edges = F.array_distinct(F.filter(picks, lambda e: e > low))
-    high = F.when(axis == 0, F.col("max_x")).when(axis == 1, F.col("max_y")).otherwise(F.col("max_z"))
-    edges = F.when(F.size(edges) > 0, edges).otherwise(F.array(high))
-    splits = (F.col("n") > tile_points) & (spread > 0)
-    return [axis.alias("axis"), F.when(splits, edges).alias("edges")]
+    # a cut at the minimum would leave an empty part; without any other cut the maximum is split off
+    inner = F.array_distinct(F.filter(picks, lambda e: e > low))
+    return F.when(F.size(inner) > 0, inner).otherwise(F.array(high))
+
+
+def _split_rule(tile_points: int, depth: int) -> list[Column]:
+    """Cut positions of a node on each axis, from its aggregates; all NULL if it is small enough.
+
+    The first passes cut all axes at once. Points along a line or sheet fill few cells of such a grid, so later
+    passes cut the widest axis only, which always divides what is left.
+    """
+    low, high = ({a: F.col(f"{side}_{a}") for a in _AXES} for side in ("min", "max"))
+    spread = {a: (high[a] > low[a]).cast("int") for a in _AXES}
+    used = spread["x"] + spread["y"] + spread["z"]
+    fill = F.col("n") / (0.5 * tile_points)
+    splits = (F.col("n") > tile_points) & (used > 0)
+    widest = F.greatest(*[high[a] - low[a] for a in _AXES])
+    taken = F.lit(False)
+    edges = []
+    for a in _AXES:
+        if depth < _GRID_PASSES:
+            most = F.when(used == 3, 6).when(used == 2, 14).otherwise(_QUANTILES)
+            parts = F.least(most, F.ceil(F.pow(fill, 1 / F.greatest(used, F.lit(1)))).cast("int"))
+            cuts = splits & (spread[a] > 0)
+        else:
+            parts = F.least(F.lit(_QUANTILES), F.ceil(fill).cast("int"))
+            cuts = splits & ~taken & (high[a] - low[a] == widest)
+            taken = taken | (high[a] - low[a] == widest)
+        parts = F.greatest(F.lit(2), parts)
+        inner = _inner_cuts(F.col(f"q_{a}"), parts, low[a], high[a])
+        edges.append(F.when(cuts, inner).when(splits, F.array().cast("array<double>")).alias(f"edges_{a}"))
+    return edges
 
 
 def _index_of(edges: Column, value: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
-def _axis_value(axis: Column) -> Column:
-    return F.when(axis == 0, F.col("x")).when(axis == 1, F.col("y")).otherwise(F.col("z"))
+def _child(tile: Column, ix: Column, iy: Column, iz: Column) -> Column:
+    across = [F.size(F.col(f"edges_{a}")) + 1 for a in ("y", "z")]
+    return tile * _BASE + (ix * across[0] + iy) * across[1] + iz
 
 
 def build_tiles(distinct_points: DataFrame, key: str, tile_points: int = TILE_POINTS) -> Tiling:
     """Tile distinct points ``(key, x, y, z, weight, ...)``."""
     points = cut(distinct_points.withColumn("tile", F.lit(1).cast("bigint")))
-    fractions = [i / _FANOUT for i in range(1, _FANOUT)]
+    fractions = [i / _QUANTILES for i in range(1, _QUANTILES)]
     levels: list[DataFrame] = []
     for depth in range(_MAX_DEPTH + 1):
         aggregates = [F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")]
@@ -90,17 +107,15 @@ def build_tiles(distinct_points: DataFrame, key: str, tile_points: int = TILE_PO
             points.groupBy(key, "tile").agg(*aggregates)
             .select(key, "tile", "n", "weight", *box, *_split_rule(tile_points, depth))
         )
-        split = nodes.filter(F.col("edges").isNotNull())
+        split = nodes.filter(F.col("edges_x").isNotNull())
         if depth == _MAX_DEPTH or split.isEmpty():
             break
-        level = split.select(key, "tile", "axis", "edges")
+        cuts = [f"edges_{a}" for a in _AXES]
+        level = split.select(key, "tile", *cuts)
         levels.append(level)
-        child = F.col("tile") * _FANOUT + _index_of(F.col("edges"), _axis_value(F.col("axis")))
-        points = cut(
-            points.join(level, [key, "tile"], "left")
-            .withColumn("tile", F.coalesce(child, F.col("tile")))
-            .drop("axis", "edges")
-        )
+        child = _child(F.col("tile"), *[_index_of(F.col(f"edges_{a}"), F.col(a)) for a in _AXES])
+        moved = F.when(F.col("edges_x").isNotNull(), child).otherwise(F.col("tile"))
+        points = cut(points.join(level, [key, "tile"], "left").withColumn("tile", moved).drop(*cuts))
     return Tiling(points, nodes.select(key, "tile", F.col("weight").alias("tile_weight"), *box), levels)
 
 
@@ -111,14 +126,19 @@ def _tiles_in_reach(queries: DataFrame, tiling: Tiling, key: str) -> DataFrame:
     """
     found = queries.withColumn("tile", F.lit(1).cast("bigint"))
     for level in tiling.levels:
-        value = _axis_value(F.col("axis"))
-        first = _index_of(F.col("edges"), value - F.col("reach"))
-        last = _index_of(F.col("edges"), value + F.col("reach"))
-        children = F.transform(F.sequence(first, last), lambda i: F.col("tile") * _FANOUT + i)
+        touched = [
+            F.sequence(
+                _index_of(F.col(f"edges_{a}"), F.col(a) - F.col("reach")), _index_of(F.col(f"edges_{a}"), F.col(a) + F.col("reach"))
+            )
+            for a in _AXES
+        ]
+        children = F.flatten(F.transform(touched[0], lambda ix: F.flatten(F.transform(
+            touched[1], lambda iy: F.transform(touched[2], lambda iz: _child(F.col("tile"), ix, iy, iz))))))
+        children = F.when(F.col("edges_x").isNotNull(), children).otherwise(F.array("tile"))
         found = (
             found.join(level, [key, "tile"], "left")
-            .withColumn("_next", F.explode(F.coalesce(children, F.array("tile"))))
-            .drop("axis", "edges", "tile")
+            .withColumn("_next", F.explode(children))
+            .drop(*[f"edges_{a}" for a in _AXES], "tile")
             .withColumnRenamed("_next", "tile")
         )
     near2, far2 = F.lit(0.0), F.lit(0.0)
