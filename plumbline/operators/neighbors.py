@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from plumbline.session import cut
 
 #: distinct points that one task compares with each other
-TILE_POINTS = 1024
+TILE_POINTS = 2048
 #: queries that one task answers for one tile
 TILE_QUERIES = 8192
 
