@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as contract
+from plumbline.queries.spark import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query_matches_sql(spark, con, name):
     ok, note = compare(spark, con, SF, name)
     assert ok, note
