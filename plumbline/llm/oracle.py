@@ -3,3 +3,21 @@
 from __future__ import annotations
 
 LLM_ORACLE: dict[str, str] = {}
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LLM_ORACLE["op6_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+widths AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+item_windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS key
+                 FROM (SELECT item_id, w, n, unnest(range(1, len(w)-n+2)) AS i FROM widths)),
+doc_windows AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS key
+                FROM (SELECT doc_id, w, n, unnest(range(1, len(w)-n+2)) AS i FROM d, (SELECT DISTINCT n FROM widths) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, i, x.n AS n FROM doc_windows x JOIN item_windows y ON x.n = y.n AND x.key = y.key),
+spans AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i+n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN items USING (doc_id)"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import secrets
+from plumbline.llm import decontaminate, secrets
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -26,6 +26,26 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+@query
+def op6_decontaminate(spark, sf_dir):
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("begin"), (m["doc_word"] + m["length"]).alias("end"))))
+    union = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
+        lambda state, s: F.struct(
+            F.greatest(state["end"], s["end"]).alias("end"),
+            (state["hit"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["begin"], state["end"]))).alias("hit"),
+        ),
+        lambda state: state["hit"].cast("long"),
+    )
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"]))))
+    return found.select("doc_id", "n_words", union.alias("n_hit"), items.alias("items")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
