@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, secrets
+from plumbline.llm import decontaminate, mixing, secrets
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -60,3 +60,8 @@ def op7_secret_scan(spark, sf_dir):
     kinds = [rule.kind for rule in secrets.BASE_RULES]
     base = F.filter("spans", lambda s: s["rank"] < len(kinds))
     return scanned.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
