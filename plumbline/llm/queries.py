@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, secrets
+from plumbline.llm import decontaminate, mixing, secrets, simhash
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -65,3 +65,9 @@ def op7_secret_scan(spark, sf_dir):
 @query
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op1_simhash(spark, sf_dir):
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
