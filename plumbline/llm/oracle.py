@@ -21,3 +21,15 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+LLM_ORACLE["op9_warc_packages"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
+n AS (SELECT *, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(hex, i, 1)) - 1) AS d FROM h),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: d[5*g+1]*65536 + d[5*g+2]*4096 + d[5*g+3]*256 + d[5*g+4]*16 + d[5*g+5]) AS five FROM n)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       CAST(1 + ((five[CAST(1 + k//4 AS INT)] // CAST(2 ** (15 - 5*(k % 4)) AS BIGINT)) % 32) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM v"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, secrets, simhash
+from plumbline.llm import decontaminate, mixing, secrets, simhash, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -71,3 +71,12 @@ def op10_mix_sources(spark, sf_dir):
 def op1_simhash(spark, sf_dir):
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_warc_packages(spark, sf_dir):
+    packages = warc.write_packages(table(spark, sf_dir, "pages"), scratch(spark, "warc-packages"))
+    return warc.read_packages(packages, payload=False).select(
+        warc.page_of("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").cast("long").alias("refers_to"),
+    )
