@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, secrets, simhash, warc
+from plumbline.llm import balltree, decontaminate, mixing, secrets, simhash, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -80,3 +80,9 @@ def op9_warc_packages(spark, sf_dir):
         warc.page_of("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op4_ball_tree_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return balltree.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
