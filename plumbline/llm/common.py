@@ -44,3 +44,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
+_TO_WORDS = bytes.maketrans(
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SEPARATORS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_SEPARATORS)
+)
+
+
+def words(text: bytes) -> list[bytes]:
+    """Lower-cased runs of a-z, 0-9 and bytes beyond ASCII."""
+    return text.translate(_TO_WORDS).split()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import slices, utf8
+from plumbline.llm.common import slices, utf8, words
 from plumbline.session import cut
 
 WINDOW = 10
@@ -39,15 +39,6 @@ PACK_WORDS = 400_000
 
 MATCH = "array<struct<items:array<string>,item_word:int,doc_word:int,length:int>>"
 
-_SEPARATORS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90))
-_TO_WORDS = bytes.maketrans(
-    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SEPARATORS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_SEPARATORS)
-)
-
-
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_TO_WORDS).split()
-
 
 @dataclass
 class Pack:
