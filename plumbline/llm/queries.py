@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import balltree, decontaminate, mixing, secrets, simhash, toxicity, warc
+from plumbline.llm import balltree, decontaminate, mixing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -93,6 +93,14 @@ def op9_warc_packages(spark, sf_dir):
     )
 
 
+@query
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_texts(docs, quality.train(docs, training_labels(spark, sf_dir)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_ball_tree_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
