@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.llm import linkgraph
+
 LLM_ORACLE: dict[str, str] = {}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,3 +43,38 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def _link_graph() -> str:
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in linkgraph.RULES)
+    rounds = ", ".join(
+        f"""s{n} AS (SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
+            SELECT e.kind, dst AS host, CAST(floor(mass * share) AS BIGINT) AS mass FROM s{n - 1} s JOIN e ON e.kind = s.kind AND e.src = s.host
+            UNION ALL SELECT kind, host, mass FROM s0) GROUP BY kind, host)"""
+        for n in range(1, linkgraph.ROUNDS + 1)
+    )
+    link = linkgraph.LINK.replace("'", "''")
+    return f"""
+WITH rules(v, rule, rule_host, rule_path) AS (VALUES {rules}),
+p AS (SELECT page_id, html, {_LOWER.format(f"coalesce(regexp_extract(url, '{linkgraph.URL}', 1), '')")} AS host,
+             coalesce(regexp_extract(url, '{linkgraph.URL}', 2), '') AS path FROM pages),
+best AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(v, length(rule)) AS v
+         FROM (SELECT DISTINCT host, path FROM p) JOIN rules
+         ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path),
+ruled AS (SELECT page_id, p.host, p.path, rule, v FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path),
+shares AS (SELECT host, count(*) FILTER (v = 'allow') / count(*) AS allowed, count(*) FILTER (v = 'block') / count(*) AS blocked
+           FROM ruled WHERE host <> '' GROUP BY host),
+targets AS (SELECT host AS src, {_LOWER.format("t")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS t FROM p WHERE host <> '')),
+links AS (SELECT src, dst, count(*) AS n FROM targets WHERE src <> dst GROUP BY src, dst),
+e AS (SELECT 'trust' AS kind, src, dst, {linkgraph.DAMPING}::DOUBLE * n / sum(n) OVER (PARTITION BY src) AS share FROM links
+      UNION ALL SELECT 'distrust', dst, src, {linkgraph.DAMPING}::DOUBLE * n / sum(n) OVER (PARTITION BY dst) FROM links),
+s0 AS (SELECT 'trust' AS kind, host, CAST({linkgraph.UNIT} AS BIGINT) AS mass FROM shares WHERE allowed >= {linkgraph.SEED_SHARE}
+       UNION ALL SELECT 'distrust', host, CAST({linkgraph.UNIT} AS BIGINT) FROM shares WHERE blocked >= {linkgraph.SEED_SHARE}),
+{rounds},
+m AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM s{linkgraph.ROUNDS} GROUP BY host)
+SELECT page_id, ruled.host, path, rule,
+       coalesce(v, CASE WHEN coalesce(d, 0) > coalesce(t, 0) AND coalesce(d, 0) >= {int(linkgraph.LEAST * linkgraph.UNIT)} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN m ON ruled.host = m.host"""
+
+
+LLM_ORACLE["op8_link_graph"] = _link_graph()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import balltree, decontaminate, mixing, quality, secrets, simhash, toxicity, warc
+from plumbline.llm import balltree, decontaminate, linkgraph, mixing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -84,6 +84,12 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_link_graph(spark, sf_dir):
+    judged = linkgraph.judge(table(spark, sf_dir, "pages"), linkgraph.rule_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op9_warc_packages(spark, sf_dir):
     packages = warc.write_packages(table(spark, sf_dir, "pages"), scratch(spark, "warc-packages"))
