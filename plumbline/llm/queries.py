@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import balltree, decontaminate, linkgraph, mixing, quality, secrets, simhash, toxicity, warc
+from plumbline.llm import balltree, decontaminate, licenses, linkgraph, mixing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -26,6 +26,16 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+@query
+def op5_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["template"])))
+    return found.select(
+        "doc_id", F.size("places").cast("long").alias("n_places"), F.array_join(names, ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["coverage"])), F.lit(0.0)).alias("coverage"),
+    )
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
