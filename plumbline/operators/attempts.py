@@ -4,31 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.params import AcceptancePolicy
+from plumbline.params import Acceptance
 
 GOOD_TRAJECTORY = ("PASS", "AVAILABLE", "WARNING")
 METRICS = ("registered_images", "registration_rate", "reprojection_rmse_px", "runtime_seconds")
 
 
-def decide(attempts: DataFrame, policy: AcceptancePolicy = AcceptancePolicy()) -> DataFrame:
-    """Add ``reject_reason``, the first rule an attempt breaks, and ``accepted``."""
-    rmse = F.col("reprojection_rmse_px")
-    reason = (
-        F.when(F.col("status") != "PASS", F.concat(F.lit("status "), F.col("status")))
-        .when(F.col("registered_images") < policy.minimum_registered_images, "too few registered images")
-        .when(F.col("registration_rate") < policy.minimum_registration_rate, "registration rate too low")
-        .when(
-            (F.col("reprojection_status") == "AVAILABLE") & (rmse > policy.maximum_reprojection_rmse_px),
-            "reprojection error too high",
-        )
-        .when(F.col("reprojection_status") == "FAIL", "reprojection check failed")
-    )
-    if policy.require_trajectory:
-        usable = F.coalesce(F.col("trajectory_status").isin(*GOOD_TRAJECTORY), F.lit(False))
-        reason = reason.when(~usable, "trajectory not usable")
+def decide(attempts: DataFrame, limits: Acceptance = Acceptance()) -> DataFrame:
+    """Add ``reject_reason``, the first rule an attempt breaks, and ``accepted``.
+
+    A status, image count, share or trajectory that is not known breaks its rule; an error in pixels that is not known
+    does not, as the reprojection of some methods cannot be checked.
+    """
+    def known(test: Column) -> Column:
+        return F.coalesce(test, F.lit(False))
+
+    status = F.col("reprojection_status")
+    rules = [
+        (known(F.col("status") == "PASS"), F.concat(F.lit("status "), F.coalesce("status", F.lit("missing")))),
+        (known(F.col("registered_images") >= limits.images), F.lit("too few registered images")),
+        (known(F.col("registration_rate") >= limits.share), F.lit("registration rate too low")),
+        (~known((status == "AVAILABLE") & (F.col("reprojection_rmse_px") > limits.rmse_px)), F.lit("reprojection error too high")),
+        (~known(status == "FAIL"), F.lit("reprojection check failed")),
+    ]
+    if limits.needs_trajectory:
+        rules.append((known(F.col("trajectory_status").isin(*GOOD_TRAJECTORY)), F.lit("trajectory not usable")))
+    reason = F.coalesce(*[F.when(~kept, text) for kept, text in rules])
     return attempts.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
 
 

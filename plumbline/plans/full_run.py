@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import runs
-from plumbline.params import AcceptancePolicy, CloudCleaning, FrameGate
+from plumbline.params import Acceptance, CloudCleaning, FrameGate
 from plumbline.plans import cloud_cleaning, frame_selection, georeference, masking, selection, training_set
 
 
@@ -31,7 +31,7 @@ class SurveyInputs:
 class SurveyPlan:
     gate: FrameGate = field(default_factory=FrameGate)
     cleaning: CloudCleaning = field(default_factory=CloudCleaning)
-    policy: AcceptancePolicy = field(default_factory=AcceptancePolicy)
+    policy: Acceptance = field(default_factory=Acceptance)
     sync_tolerance: float = 1.0
 
 

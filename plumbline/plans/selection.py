@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import attempts as A
-from plumbline.params import AcceptancePolicy
+from plumbline.params import Acceptance
 
 
 def select(
-    attempts: DataFrame, preflight: DataFrame | None = None, policy: AcceptancePolicy = AcceptancePolicy()
+    attempts: DataFrame, preflight: DataFrame | None = None, policy: Acceptance = Acceptance()
 ) -> dict[str, DataFrame]:
     """Tables ``attempts`` (with decision), ``selected`` and ``failed`` per scene.
 

@@ -448,10 +448,11 @@ WITH {_COVER} SELECT video_id, count(*) AS input_frames, count(*) FILTER (detect
   CAST(sum(detections) AS BIGINT) AS total_detections, round(avg(coverage), 4) AS mask_coverage FROM cover GROUP BY video_id"""
 
 _DECIDED = f"""{using('v_attempts')},
-decided AS (SELECT *, reject_reason IS NULL AS accepted FROM (SELECT *, CASE WHEN status <> 'PASS' THEN 'status ' || status
-   WHEN registered_images < 2 THEN 'too few registered images' WHEN registration_rate < 0.8 THEN 'registration rate too low'
+decided AS (SELECT *, reject_reason IS NULL AS accepted FROM (SELECT *, CASE WHEN status IS NULL OR status <> 'PASS' THEN 'status ' || coalesce(status, 'missing')
+   WHEN registered_images IS NULL OR registered_images < 2 THEN 'too few registered images'
+   WHEN registration_rate IS NULL OR registration_rate < 0.8 THEN 'registration rate too low'
    WHEN reprojection_status = 'AVAILABLE' AND reprojection_rmse_px > 1.0 THEN 'reprojection error too high'
-   WHEN trajectory_status NOT IN ('PASS', 'AVAILABLE', 'WARNING') THEN 'trajectory not usable' END AS reject_reason FROM v_attempts))"""
+   WHEN trajectory_status IS NULL OR trajectory_status NOT IN ('PASS', 'AVAILABLE', 'WARNING') THEN 'trajectory not usable' END AS reject_reason FROM v_attempts))"""
 ORACLE["candidate_decision"] = f"WITH {_DECIDED} SELECT scene_id, attempt_id, accepted, reject_reason FROM decided"
 ORACLE["first_acceptable"] = f"""
 WITH {_DECIDED},

@@ -110,12 +110,13 @@ VIEWS = {
     "v_attempts": """
         SELECT o_custkey AS scene_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS ord, o_orderkey AS attempt_id,
                substr(o_orderpriority, 3) AS method,
-               CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'P' THEN 'BLOCKED' ELSE 'PASS' END AS status,
-               o_orderkey % 40 AS registered_images, (60 + o_orderkey % 41)/1e2 AS registration_rate,
+               CASE WHEN o_orderkey % 53 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'FAIL' WHEN o_orderstatus = 'P' THEN 'BLOCKED' ELSE 'PASS' END AS status,
+               CASE WHEN o_orderkey % 59 <> 0 THEN o_orderkey % 40 END AS registered_images,
+               CASE WHEN o_orderkey % 61 <> 0 THEN (60 + o_orderkey % 41)/1e2 END AS registration_rate,
                CASE WHEN o_orderkey % 7 = 0 THEN 'NOT_AVAILABLE' ELSE 'AVAILABLE' END AS reprojection_status,
                CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 30)/2e1 END AS reprojection_rmse_px,
-               CASE o_orderkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'AVAILABLE' WHEN 2 THEN 'WARNING'
-                    ELSE 'NOT_AVAILABLE' END AS trajectory_status,
+               CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'AVAILABLE' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'NOT_AVAILABLE'
+                    ELSE 'PASS' END AS trajectory_status,
                o_totalprice/1e5 AS runtime_seconds
         FROM orders""",
     "v_run_events": """

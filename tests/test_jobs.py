@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import attempts, dataset, frames, masks, pairs, runs, trajectory
-from plumbline.params import AcceptancePolicy, CloudCleaning
+from plumbline.params import Acceptance, CloudCleaning
 from plumbline.plans import full_run, masking, pose_qa, selection, training_set
 from plumbline.sinks import documents
 
@@ -88,7 +88,7 @@ def test_first_acceptable(spark):
     assert got == {"first": ("PASS", "fastmap", 1.2), "second": ("PASS", "global_sfm", 9.0), "third": ("PASS", "vggt", 10.0), "none": ("FAIL", None, 3.0)}
     assert out["attempts"].count() == 8
     assert {r["reject_reason"] for r in out["failed"].collect()} == {"status FAIL", "registration rate too low"}
-    strict = attempts.decide(tries(spark), AcceptancePolicy(maximum_reprojection_rmse_px=0.1))
+    strict = attempts.decide(tries(spark), Acceptance(rmse_px=0.1))
     assert strict.filter("accepted").count() == 1
     blocked = selection.select(tries(spark), spark.createDataFrame([("first", "PASS", None), ("none", "FAIL", "too few images")], "scene_id string, status string, reason string"))
     assert blocked["selected"].count() == 1 and "preflight: too few images" in {r["reject_reason"] for r in blocked["failed"].collect()}
