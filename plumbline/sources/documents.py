@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.sources.files import file_stem, folder_name
+from plumbline.sources.files import file_stem, folder_key
 
 Paths = str | Sequence[str]
 
@@ -21,7 +21,7 @@ def _json(spark: SparkSession, schema: str, paths: Paths) -> DataFrame:
 
 
 def read_poses(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Camera poses from lists of pose records; the flight is the folder of the file.
+    """Camera poses from lists of pose records; the flight is the folder of the file below the given path.
 
     Rotation and intrinsics may be nested under ``rotation`` and ``intrinsics``. ``pose_error`` names documents or
     records that are no poses.
@@ -30,7 +30,7 @@ def read_poses(spark: SparkSession, paths: Paths) -> DataFrame:
     component = lambda array, i: F.try_element_at(array, F.lit(i + 1))
     either = lambda name: F.coalesce(name, f"intrinsics.{name}")
     return rows.select(
-        folder_name(F.col("file")).alias("flight_id"), "frame_id", "image_name", "image_id", "camera_id",
+        folder_key(F.col("file"), paths).alias("flight_id"), "frame_id", "image_name", "image_id", "camera_id",
         F.col("timestamp").alias("raw_time"),
         *[component("position", i).alias(c) for i, c in enumerate("xyz")],
         *[component("rotation_quaternion", i).alias(c) for i, c in enumerate(("qw", "qx", "qy", "qz"))],
@@ -50,10 +50,10 @@ def flights_without_poses(expected: DataFrame, poses: DataFrame) -> DataFrame:
 
 
 def read_frame_logs(spark: SparkSession, paths: Paths) -> DataFrame:
-    """One row per logged frame with the totals of its log; the video is the folder of the file."""
+    """One row per logged frame with the totals of its log; the video is the folder below the given path."""
     logs = _json(spark, schemas.FRAME_LOG_JSON, paths).filter("_corrupt_record IS NULL")
     return logs.select(
-        folder_name(F.col("file")).alias("video_id"), "source_video", "original_fps", "total_frames",
+        folder_key(F.col("file"), paths).alias("video_id"), "source_video", "original_fps", "total_frames",
         "duration_seconds", "selected_frames", "blur_threshold_used", F.explode_outer("frames").alias("_f"),
     ).select("*", "_f.*").drop("_f")
 
@@ -63,7 +63,7 @@ def read_detections(spark: SparkSession, paths: Paths) -> DataFrame:
     item = "array<struct<class:string,confidence:double,bbox:array<double>,object_id:bigint>>"
     rows = _json(spark, f"frame_stem string, frame string, detections {item}, objects {item}", paths)
     listed = rows.filter("_corrupt_record IS NULL").select(
-        folder_name(F.col("file")).alias("video_id"), F.coalesce("frame_stem", "frame", file_stem(F.col("file"))).alias("frame_id"),
+        folder_key(F.col("file"), paths).alias("video_id"), F.coalesce("frame_stem", "frame", file_stem(F.col("file"))).alias("frame_id"),
         F.posexplode(F.coalesce("detections", "objects")).alias("det_no", "_d"),
     )
     corner = lambda i: F.try_element_at("_d.bbox", F.lit(i))
@@ -80,7 +80,7 @@ def read_alignments(spark: SparkSession, paths: Paths) -> DataFrame:
     square = (F.size(a["rotation_matrix"]) == 3) & F.forall(a["rotation_matrix"], lambda row: F.size(row) == 3)
     broken = ~(F.coalesce(square & (F.size(a["translation_vector"]) == 3), F.lit(False)))
     return rows.filter(F.col("_corrupt_record").isNotNull() | a.isNotNull()).select(
-        folder_name(F.col("file")).alias("cloud_id"), a["scale"].alias("scale"), a["rotation_matrix"].alias("r"),
+        folder_key(F.col("file"), paths).alias("cloud_id"), a["scale"].alias("scale"), a["rotation_matrix"].alias("r"),
         a["translation_vector"].alias("t"), "target_crs",
         F.when(F.col("_corrupt_record").isNotNull(), "not a JSON document").when(broken, "rotation or translation malformed")
         .when(~F.coalesce(a["scale"] > 0, F.lit(False)), "scale is not positive").alias("alignment_error"),

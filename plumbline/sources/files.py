@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +19,39 @@ def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def folder_name(path: Column, levels_up: int = 1) -> Column:
-    """Name of the folder that holds the file, or of one further up."""
-    return F.regexp_extract(path, r"([^/]+)" + r"/[^/]+" * levels_up + "$", 1)
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*"
+
+
+def _root(path: str) -> str:
+    """The folder that holds everything a path names: what stands before its first pattern character."""
+    plain = "/" + re.sub(_SCHEME, "", path).lstrip("/") if re.match(_SCHEME, path) else path
+    if not plain.startswith("/"):
+        plain = os.path.abspath(plain)
+    fixed = re.split(r"[*?\[{]", plain, maxsplit=1)
+    return (fixed[0].rpartition("/")[0] if len(fixed) > 1 else fixed[0]).rstrip("/")
+
+
+def _below_root(path: Column, roots: str | Sequence[str]) -> Column:
+    """A file's path below the longest of the roots that holds it; empty if the root is the file itself."""
+    plain = F.concat(F.lit("/"), F.regexp_replace(path, _SCHEME, ""))
+    known = sorted({_root(r) for r in ([roots] if isinstance(roots, str) else roots)}, key=len, reverse=True)
+    inside = [F.when(plain == r, "").when(plain.startswith(r + "/"), F.substring(plain, len(r) + 2, 1 << 30)) for r in known]
+    return F.coalesce(*inside, plain)
+
+
+def folder_key(path: Column, roots: str | Sequence[str]) -> Column:
+    """What a file belongs to: its folder below the root it was read from, so that ``A/sparse/0`` and ``B/sparse/0`` differ.
+
+    A file that was named itself, or lies in the root, belongs to the folder that holds it.
+    """
+    below = F.regexp_extract(_below_root(path, roots), r"^(.*)/[^/]*$", 1)
+    return F.when(below != "", below).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+
+
+def stem_key(path: Column, roots: str | Sequence[str]) -> Column:
+    """Like :func:`folder_key`, but every file is one thing: folder below the root, and name without ending."""
+    below = F.regexp_extract(_below_root(path, roots), r"^(.*/)[^/]*$", 1)
+    return F.concat(below, file_stem(path))
 
 
 def file_stem(path: Column) -> Column:

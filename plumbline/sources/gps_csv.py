@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.gps import check_rows
 from plumbline.params import GPS_ALIASES
-from plumbline.sources.files import file_stem, lines
+from plumbline.sources.files import lines, stem_key
 
 
 def _cells(value: Column) -> Column:
@@ -43,7 +43,7 @@ def read_gps_csv(
 ) -> tuple[DataFrame, DataFrame]:
     """Checked rows of many logs (see :func:`plumbline.operators.gps.check_rows`) and the files with a broken header.
 
-    Every file may name its columns differently. The flight is the file stem, ``seq`` the order in the file.
+    Every file may name its columns differently. The flight is the file below the given path, without ending, ``seq`` the order in the file.
     """
     rows = lines(spark, paths).filter(F.trim(F.regexp_replace("value", "[,\"]", "")) != "").withColumn("cells", _cells(F.col("value")))
     headers = _headers(rows)
@@ -52,12 +52,12 @@ def read_gps_csv(
     cell = lambda name: F.trim(F.try_element_at("cells", F.col(f"_{name}")))
     short = F.size("cells") < needed
     raw = joined.select(
-        file_stem(F.col("file")).alias("flight_id"), "file", F.col("line_id").alias("seq"), short.alias("incomplete"),
+        stem_key(F.col("file"), paths).alias("flight_id"), "file", F.col("line_id").alias("seq"), short.alias("incomplete"),
         *[F.coalesce(cell(n), F.lit("")).alias(t) for n, t in (
             ("timestamp", "time_text"), ("latitude", "lat_text"), ("longitude", "lon_text"), ("altitude", "alt_text"))],
         F.lit(altitude_reference).alias("altitude_reference"),
     )
-    bad_files = headers.filter("file_error IS NOT NULL").select(file_stem(F.col("file")).alias("flight_id"), "file", "file_error")
+    bad_files = headers.filter("file_error IS NOT NULL").select(stem_key(F.col("file"), paths).alias("flight_id"), "file", "file_error")
     return check_rows(raw), bad_files
 
 
@@ -78,7 +78,7 @@ def imu_availability(spark: SparkSession, paths: str | Sequence[str], expected:
     is_object = F.json_object_keys("value").isNotNull()
     # an object without records is readable but empty
     json = whole.select("file", F.coalesce(records, F.when(is_object, 0)).cast("bigint").alias("total_records"))
-    found = csv.unionByName(json).select(file_stem(F.col("file")).alias("flight_id"), F.col("file"), "total_records")
+    found = csv.unionByName(json).select(stem_key(F.col("file"), paths).alias("flight_id"), F.col("file"), "total_records")
     return expected.select("flight_id").distinct().join(found, "flight_id", "left").select(
         "flight_id", F.col("total_records").isNotNull().alias("imu_available"), "total_records",
         F.when(F.col("file").isNull(), "no IMU file").when(F.col("total_records").isNull(), "parsing failed").alias("reason"),

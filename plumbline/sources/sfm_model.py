@@ -1,6 +1,6 @@
 """Sparse reconstruction models, text and binary, as tables over many models.
 
-The model is named by the folder of its files. Text files are read line by line and split; a binary file has
+The model is named by the folder of its files below the given path. Text files are read line by line and split; a binary file has
 records of varying length and is parsed by one task in blocks, so large corpora should be converted to Parquet once.
 """
 
@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.operators.ordering import running_max, with_position
 from plumbline.params import CAMERA_MODELS
-from plumbline.sources.files import folder_name, lines, tokens
+from plumbline.sources.files import folder_key, lines, tokens
 
 Paths = str | Sequence[str]
 _BLOCK_ROWS = 4096
 
 
 def _model_lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    return lines(spark, paths).filter(~F.col("value").startswith("#")).withColumn("model_id", folder_name(F.col("file")))
+    return lines(spark, paths).filter(~F.col("value").startswith("#")).withColumn("model_id", folder_key(F.col("file"), paths))
 
 
 def read_cameras_text(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -32,7 +32,7 @@ def read_cameras_text(spark: SparkSession, paths: Paths) -> DataFrame:
     rows = _model_lines(spark, paths).filter(F.trim("value") != "")
     return rows.select(
         "model_id", t[0].cast("bigint").alias("camera_id"), t[1].alias("model"), t[2].cast("bigint").alias("width"),
-        t[3].cast("bigint").alias("height"), F.transform(F.slice(t, 5, 1000), lambda p: p.cast("double")).alias("params"),
+        t[3].cast("bigint").alias("height"), F.transform(F.slice(t, 5, F.greatest(F.size(t) - 4, F.lit(0))), lambda p: p.cast("double")).alias("params"),
     )
 
 
@@ -88,7 +88,7 @@ def read_points_text(spark: SparkSession, paths: Paths, strict: bool = False) ->
         .when(infinite, "coordinate not finite").when(~colors, "colour outside 0..255")
     )
     judged = parsed.withColumn("reject_reason", reason)
-    tail = F.slice("t", 9, 2_000_000)
+    tail = F.slice("t", 9, F.greatest(F.size("t") - 8, F.lit(0)))
     pairs = F.floor(F.size(tail) / 2).cast("int")
     track = F.transform(
         F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>")),
@@ -112,7 +112,7 @@ Parser = Callable[[bytes], Iterator[dict]]
 def _binary(spark: SparkSession, paths: Paths, schema: str, parse: Parser) -> DataFrame:
     """Rows of binary files; a file that ends early or holds unknown codes gives one row with ``file_error``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
-    named = files.select(folder_name(F.col("path")).alias("model_id"), F.col("path").alias("file"), "content")
+    named = files.select(folder_key(F.col("path"), paths).alias("model_id"), F.col("path").alias("file"), "content")
     columns = [part.split()[0] for part in schema.split(", ")][1:]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +233,7 @@ def header_counts(spark: SparkSession, paths: Paths) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin")
     bytes_reversed = F.concat(*[F.substring(F.hex(F.substring("content", 1, 8)), 2 * i + 1, 2) for i in reversed(range(8))])
     return files.load(paths if isinstance(paths, str) else list(paths)).select(
-        folder_name(F.col("path")).alias("model_id"), F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("name"),
+        folder_key(F.col("path"), paths).alias("model_id"), F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("name"),
         F.when(F.col("length") >= 8, F.conv(bytes_reversed, 16, 10).cast("bigint")).otherwise(0).alias("records"),
     )
 
