@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline.functions import utm
-from plumbline.params import DYNAMIC_CLASSES, SPLAT_ATTRIBUTES
+from plumbline.params import CAMERA_MODELS, DYNAMIC_CLASSES, SPLAT_ATTRIBUTES
 from plumbline.queries.views import duckdb_views as using
 
 ORACLE: dict[str, str] = {}
@@ -594,3 +594,27 @@ def _fixed_rounding(sql: str) -> str:
 
 
 ORACLE = {name: " ".join(_fixed_rounding(text).split()) for name, text in ORACLE.items()}
+
+
+# -- files: what was written is what is read ---------------------------------------------------------------------
+
+_SIZES = {name: size for name, size in CAMERA_MODELS.values()}
+_N_PARAMS = "CASE model " + " ".join(f"WHEN '{n}' THEN {s}" for n, s in _SIZES.items()) + " END"
+ORACLE["file_cameras_text"] = f"""
+WITH {using('v_cameras')}
+SELECT camera_id, model, CAST(1920 AS BIGINT) AS width, CAST(1080 AS BIGINT) AS height, {_N_PARAMS} AS n_params,
+       CAST(list_sum(list_transform(range(1, {_N_PARAMS} + 1), lambda i: i * 100 + camera_id)) AS DOUBLE) AS total FROM v_cameras"""
+ORACLE["file_images_text"] = f"""
+WITH {using('v_images', 'v_observations')},
+o AS (SELECT image_id, count(*) AS n, sum(point3d_id) AS ids, sum(px) AS px FROM v_observations GROUP BY image_id)
+SELECT image_id, camera_id, name, CAST(coalesce(n, 0) AS INTEGER) AS n_observations, CAST(coalesce(ids, 0) AS BIGINT) AS point_ids,
+       {', '.join(f'floor({c} * 1e4 + 0.500001) / 1e4 AS {c}' for c in ('qw', 'qz', 'tx'))}, round(coalesce(px, 0), 4) AS px
+FROM v_images LEFT JOIN o USING (image_id)"""
+ORACLE["file_points_text"] = f"""
+WITH {using('v_points3d')} SELECT point3d_id, {_R4}, CAST(0 AS INTEGER) AS n_track FROM v_points3d"""
+ORACLE["file_pose_json"] = ORACLE["pose_records"]
+ORACLE["file_gps_csv"] = f"""
+WITH {using('v_gps')} SELECT flight_id, {', '.join(f'floor({c} * 1e4 + 0.500001) / 1e4 AS {c}' for c in ('ts_s', 'lat', 'lon', 'alt'))} FROM v_gps"""
+ORACLE["file_ply_binary"] = ORACLE["file_ply_ascii"] = f"""
+WITH {using('v_points_big')}
+SELECT {', '.join(f'floor({c} * 1e4 + 0.500001) / 1e4 AS {c}' for c in _XYZ)}, {', '.join(f'CAST({c} AS SMALLINT) AS {c}' for c in 'rgb')} FROM v_points_big"""

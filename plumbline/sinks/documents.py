@@ -6,8 +6,9 @@ A document per flight can be as long as the flight, so it is never gathered in o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +81,32 @@ def pose_records(images: DataFrame, key: str = "model_id") -> DataFrame:
     )
 
 
+def _lists(ordered: DataFrame, key: str) -> DataFrame:
+    """(key, json) rows as lines that make the rows of a key in one partition a complete JSON list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            keys, lines = [], []
+            for own, json in zip(batch.column(key).to_pylist(), batch.column("line").to_pylist()):
+                if held is not None:
+                    keys.append(held[0])
+                    lines.append(held[1] + ("" if held[0] == own else "]"))
+                held = (own, ("," if held is not None and held[0] == own else "[") + json)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(key).type), pa.array(lines, pa.string())], names=[key, "line"])
+            kind = batch.schema.field(key).type
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], kind), pa.array([held[1] + "]"])], names=[key, "line"])
+
+    return ordered.select(key, "line").mapInArrow(run, f"{key} {dict(ordered.dtypes)[key]}, line string")
+
+
 def write_pose_json(images: DataFrame, path: str, key: str = "model_id", mode: str = "errorifexists") -> None:
-    """Poses as JSON lines in name order, one folder per model."""
-    rows = pose_records(images, key).repartitionByRange(F.col(key), F.col("image_name")).sortWithinPartitions(key, "image_name")
-    rows.write.mode(mode).partitionBy(key).json(path)
+    """Poses in name order, one folder per model; every file in it is a complete JSON list."""
+    records = pose_records(images, key)
+    item = F.struct(*[c for c in records.columns if c != key])
+    rows = records.select(key, "image_name", F.to_json(item, KEEP_NULLS).alias("line"))
+    ordered = rows.repartitionByRange(F.col(key), F.col("image_name")).sortWithinPartitions(key, "image_name")
+    _lists(ordered, key).write.mode(mode).partitionBy(key).text(path)
 
 
 def write_geojson(features: DataFrame, path: str, key: str = "flight_id", order: str = "image_name", mode: str = "errorifexists") -> None:

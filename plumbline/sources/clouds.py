@@ -18,6 +18,9 @@ _METHODS = {"txt": "colmap_sparse_text", "bin": "colmap_sparse_binary", "ply": "
 
 def choose_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     """``(cloud_id, folder, file, kind)``: the best file of each folder; the cloud is named by the folder."""
+    names = [f.rstrip("/").rpartition("/")[2] for f in folders]
+    if len(set(names)) < len(names):
+        raise ValueError(f"clouds are named by their folders, and two folders have one name: {', '.join(sorted(names))}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders)).select(
         F.regexp_replace("path", "^file:/+", "/").alias("file")
     )
@@ -35,11 +38,20 @@ def choose_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     )
 
 
+def _refuse(bad: DataFrame | None) -> None:
+    first = bad.first() if bad is not None else None
+    if first is not None:
+        raise ValueError(": ".join(map(str, first)))
+
+
 def load_clouds(
-    spark: SparkSession, folders: Sequence[str], alignment: DataFrame | None = None
+    spark: SparkSession, folders: Sequence[str], alignment: DataFrame | None = None, strict: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Points of many clouds and their ``cloud_meta``; clouds with an alignment are moved once, never twice.
 
+    A bad line, a broken file or a malformed alignment raises, unless ``strict`` is off: then bad lines and files are
+    left out and clouds with a malformed alignment stay where they are, as the readers' own reports tell.
+
     Chosen files are one short row per folder and come to the driver to name the reader inputs.
     """
     chosen = choose_files(spark, folders)
@@ -56,7 +68,12 @@ def load_clouds(
             part = spark.read.format("ply").load("\n".join(paths)).withColumn("error", F.lit(None).cast("double")).withColumn(
                 "point_id", F.lit(None).cast("bigint"))
         else:
-            rows = read_points_text(spark, paths)[0] if kind == "txt" else read_points_binary(spark, paths).filter("file_error IS NULL")
+            if kind == "txt":
+                rows = read_points_text(spark, paths, strict=strict)[0]
+            else:
+                rows = read_points_binary(spark, paths)
+                _refuse(rows.filter("file_error IS NOT NULL").select("file", "file_error") if strict else None)
+                rows = rows.filter("file_error IS NULL")
             part = rows.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).withColumnRenamed("point3d_id", "point_id").join(named, "file")
         part = part.select(*shape)
         points = part if points is None else points.unionByName(part)
@@ -72,5 +89,6 @@ def load_clouds(
     )
     if alignment is None:
         return points, meta
+    _refuse(alignment.filter("alignment_error IS NOT NULL").select("cloud_id", "alignment_error") if strict else None)
     good = alignment.filter("alignment_error IS NULL")
     return transform_points(points, good), georeference_meta(meta, good)

@@ -6,6 +6,8 @@ import os
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,10 @@ def file_stem(path: Column) -> Column:
 
 def tokens(value: Column) -> Column:
     return F.split(F.trim(value), r"\s+")
+
+
+def open_binary(path: str) -> pa.NativeFile:
+    """A file to read from any task, on whatever file system its URI names."""
+    plain = re.sub("^file:/+", "/", path)
+    fs, inner = (pa.fs.LocalFileSystem(), plain) if plain.startswith("/") else pa.fs.FileSystem.from_uri(plain)
+    return fs.open_input_file(inner)

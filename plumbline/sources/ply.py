@@ -8,17 +8,17 @@ from __future__ import annotations
 
 import glob
 import os
-import struct
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from plumbline import schemas
+from plumbline.sources.files import open_binary
 
 # PLY scalar names -> NumPy types.
 _TYPES = {
@@ -37,6 +37,7 @@ class Header:
     vertices: int
     properties: list[tuple[str, str]]
     body: int
+    more: bool = False  #: further elements follow the vertices
 
 
 def parse_header(data: bytes) -> Header:
@@ -47,7 +48,7 @@ def parse_header(data: bytes) -> Header:
     if end < 0:
         raise ValueError("header does not end")
     body = data.index(b"\n", end) + 1
-    layout, vertices, properties, element = "", 0, [], None
+    layout, vertices, properties, element, more = "", 0, [], None, False
     for line in data[:end].decode("ascii", "replace").splitlines():
         words = line.split()
         if words[:1] == ["format"]:
@@ -56,6 +57,7 @@ def parse_header(data: bytes) -> Header:
             if element is None and words[1] != "vertex":
                 raise ValueError("the first element is not the vertex list")
             element = words[1]
+            more = more or element != "vertex" and words[2:3] != ["0"]
             if element == "vertex":
                 vertices = int(words[2])
         elif words[:1] == ["property"] and element == "vertex":
@@ -64,12 +66,13 @@ def parse_header(data: bytes) -> Header:
             properties.append((words[2], _TYPES[words[1]]))
     if not {"x", "y", "z"} <= {name for name, _ in properties}:
         raise ValueError("no x, y, z properties")
-    return Header(layout, vertices, properties, body)
+    return Header(layout, vertices, properties, body, more)
 
 
 @dataclass
 class PlyRange(InputPartition):
     path: str
+    cloud: str
     header: Header
     start: int
     end: int
@@ -78,6 +81,7 @@ class PlyRange(InputPartition):
 class PlyReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.files = _expand(options.get("path", ""))
+        self.clouds = _cloud_names(self.files, options.get("path", ""))
         if not self.files:
             raise FileNotFoundError(options.get("path", ""))
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
@@ -91,17 +95,17 @@ class PlyReader(DataSourceReader):
                 raise ValueError(f"{path}: point cloud is empty")
             if header.layout == "ascii":
                 end = os.path.getsize(path)
-                step = self.split
+                # with further elements only a reader that counts from the first vertex knows where the list ends
+                step = max(1, end - header.body) if header.more else self.split
             else:
                 stride = np.dtype([(n, t) for n, t in header.properties]).itemsize
                 end = header.body + stride * header.vertices
                 step = max(1, self.split // stride) * stride
-            ranges += [PlyRange(path, header, at, min(end, at + step)) for at in range(header.body, end, step)]
+            ranges += [PlyRange(path, self.clouds[path], header, at, min(end, at + step)) for at in range(header.body, end, step)]
         return ranges
 
     def read(self, partition: PlyRange) -> Iterator[pa.RecordBatch]:
         rows = _read_text(partition) if partition.header.layout == "ascii" else _read_binary(partition)
-        cloud = os.path.basename(os.path.dirname(partition.path)) or os.path.basename(partition.path)
         for values in rows:
             xyz = [np.asarray(values[c], dtype=np.float64) for c in ("x", "y", "z")]
             if not all(np.isfinite(v).all() for v in xyz):
@@ -111,7 +115,7 @@ class PlyReader(DataSourceReader):
                 pa.array(values[c].astype(np.int16)) if c in values else pa.nulls(n, pa.int16()) for c in ("red", "green", "blue")
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([cloud] * n), *[pa.array(v) for v in xyz], *colors], ["cloud_id", "x", "y", "z", "r", "g", "b"]
+                [pa.array([partition.cloud] * n), *[pa.array(v) for v in xyz], *colors], ["cloud_id", "x", "y", "z", "r", "g", "b"]
             )
 
 
@@ -125,6 +129,17 @@ def _expand(paths: str) -> list[str]:
     return found
 
 
+def _cloud_names(files: list[str], paths: str) -> dict[str, str]:
+    """A cloud is named by its folder below the path it was read from, as the other readers name things."""
+    roots = sorted({p.removeprefix("file://").rstrip("/") for p in paths.splitlines()}, key=len, reverse=True)
+    names = {}
+    for file in files:
+        folder = os.path.dirname(file)
+        below = next((os.path.relpath(folder, r) for r in roots if file.startswith(r + "/")), ".")
+        names[file] = os.path.basename(folder) or os.path.basename(file) if below == "." else below
+    return names
+
+
 def _read_binary(part: PlyRange) -> Iterator[dict[str, np.ndarray]]:
     dtype = np.dtype([(n, _ORDER[part.header.layout] + t) for n, t in part.header.properties])
     with open(part.path, "rb") as f:
@@ -140,17 +155,21 @@ def _read_binary(part: PlyRange) -> Iterator[dict[str, np.ndarray]]:
 
 
 def _read_text(part: PlyRange) -> Iterator[dict[str, np.ndarray]]:
-    """Lines that start inside the range; files with further elements must be binary to be split safely."""
-    names = [n for n, _ in part.header.properties]
+    """Lines that start inside the range; with further elements as many as the header declares.
+
+    The first range of a file also counts the lines of the others and holds them against the header.
+    """
+    names, left = [n for n, _ in part.header.properties], part.header.vertices
     with open(part.path, "rb") as f:
         f.seek(part.start)
         if part.start > part.header.body:
             f.seek(part.start - 1)
             f.readline()
         block: list[list[float]] = []
-        while f.tell() < part.end:
+        while f.tell() < part.end and not (part.header.more and not left):
             words = f.readline().split()
             if words:
+                left -= 1
                 if len(words) < len(names):
                     raise ValueError(f"{part.path}: short vertex line")
                 block.append([float(w) for w in words[: len(names)]])
@@ -159,6 +178,10 @@ def _read_text(part: PlyRange) -> Iterator[dict[str, np.ndarray]]:
                 block = []
         if block:
             yield dict(zip(names, np.array(block).T))
+        if part.start == part.header.body:
+            left -= sum(not line.isspace() for line in f) if not part.header.more else 0
+            if left:
+                raise ValueError(f"{part.path}: {abs(left)} vertices {'fewer' if left > 0 else 'more'} than declared")
 
 
 @dataclass
@@ -260,14 +283,25 @@ def register(spark: SparkSession) -> None:
 
 
 def read_headers(spark: SparkSession, paths) -> DataFrame:
-    """``(file, is_ply, num_vertices, properties)`` of many files from the start of each, for the splat check."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    start = F.substring("content", 1, 65536)
-    text = F.decode(start, "ISO-8859-1")
-    head = F.substring_index(text, "end_header", 1)
-    names = F.regexp_extract_all(head, F.lit(r"property\s+\S+\s+(\S+)"), 1)
-    return files.select(
-        F.col("path").alias("file"), F.coalesce(F.regexp_like(text, F.lit(r"^\s*ply\s")), F.lit(False)).alias("is_ply"),
-        F.coalesce(F.nullif(F.regexp_extract(head, r"element vertex (\d+)", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("num_vertices"),
-        names.alias("properties"),
-    )
+    """``(file, is_ply, num_vertices, properties)`` of many files, of which only the header is read, however long it is."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                head = b""
+                with open_binary(path) as f:
+                    while b"end_header" not in head and (more := f.read(65536)) and head[:3] in (b"", b"ply"):
+                        head += more
+                text = head.partition(b"end_header")[0].decode("latin-1")
+                count = re.search(r"element vertex (\d+)", text)
+                rows.append({
+                    "file": path, "is_ply": re.match(r"\s*ply\s", text) is not None, "num_vertices": int(count[1]) if count else 0,
+                    "properties": re.findall(r"property\s+\S+\s+(\S+)", text),
+                })
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+                ("file", pa.string()), ("is_ply", pa.bool_()), ("num_vertices", pa.int64()), ("properties", pa.list_(pa.string())),
+            ]))
+
+    return files.mapInArrow(run, "file string, is_ply boolean, num_vertices bigint, properties array<string>")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.operators.ordering import running_max, with_position
 from plumbline.params import CAMERA_MODELS
-from plumbline.sources.files import folder_key, lines, tokens
+from plumbline.sources.files import folder_key, lines, open_binary, tokens
 
 Paths = str | Sequence[str]
 _BLOCK_ROWS = 4096
@@ -231,10 +231,19 @@ def find_models(spark: SparkSession, roots: Paths) -> DataFrame:
 def header_counts(spark: SparkSession, paths: Paths) -> DataFrame:
     """Record count from the first 8 bytes of binary model files: ``(model_id, name, records)``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin")
-    bytes_reversed = F.concat(*[F.substring(F.hex(F.substring("content", 1, 8)), 2 * i + 1, 2) for i in reversed(range(8))])
-    return files.load(paths if isinstance(paths, str) else list(paths)).select(
-        folder_key(F.col("path"), paths).alias("model_id"), F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("name"),
-        F.when(F.col("length") >= 8, F.conv(bytes_reversed, 16, 10).cast("bigint")).otherwise(0).alias("records"),
+    listed = files.load(paths if isinstance(paths, str) else list(paths)).select("path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counts = []
+            for path in frame["path"]:
+                with open_binary(path) as f:
+                    head = f.read(8)
+                counts.append(struct.unpack("<q", head)[0] if len(head) == 8 else 0)
+            yield frame.assign(records=counts)
+
+    return listed.mapInPandas(run, "path string, records bigint").select(
+        folder_key(F.col("path"), paths).alias("model_id"), F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("name"), "records"
     )
 
 

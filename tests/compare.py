@@ -13,6 +13,7 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from plumbline.queries.oracle import ORACLE  # noqa: E402
+from plumbline.queries import files  # noqa: F401  # noqa: E402
 from plumbline.queries.spark import REGISTRY  # noqa: E402
 from plumbline.queries.views import TABLES  # noqa: E402
 

@@ -272,3 +272,42 @@ def test_model_text_round_trip(spark, tmp_path):
     assert [(r["name"], r["tx"], r["observations"]) for r in back] == [("n1.jpg", 0.5, []), ("n2.jpg", 0.5, [])]
     text = "".join(p.read_text() for p in (tmp_path / "out/points3D/model_id=m").glob("part-*"))
     assert text.strip() == "1 1.500000 2.500000 3.500000 128 128 128 0.0"
+
+
+def test_equal_folder_names_stay_apart(spark, tmp_path):
+    for run in "AB":
+        put(tmp_path / run / "sparse/0/cameras.txt", f"{ord(run)} PINHOLE 10 10 1 1 5 5\n")
+        put(tmp_path / run / "log.csv", "timestamp,lat,lon,alt\n1.0,2.0,3.0,4.0\n")
+    cameras = sfm.read_cameras_text(spark, f"{tmp_path}/*/sparse/*/cameras.txt").collect()
+    assert {(r["model_id"], r["camera_id"]) for r in cameras} == {("A/sparse/0", 65), ("B/sparse/0", 66)}
+    assert {r["model_id"] for r in sfm.read_cameras_text(spark, f"file://{tmp_path}/A/sparse").collect()} == {"0"}
+    checked, _ = gps_csv.read_gps_csv(spark, f"{tmp_path}/*/*.csv")
+    assert {r["flight_id"] for r in checked.collect()} == {"A/log", "B/log"}
+
+
+def test_long_tracks_and_parameters_are_whole(spark, tmp_path):
+    put(tmp_path / "points3D.txt", "1 0 0 0 1 2 3 0.5 " + "4 5 " * 3000 + "\n")
+    put(tmp_path / "cameras.txt", "1 PINHOLE 10 10 " + "1.5 " * 1500 + "\n")
+    good, _ = sfm.read_points_text(spark, str(tmp_path / "points3D.txt"))
+    assert len(good.first()["track"]) == 3000
+    assert len(sfm.read_cameras_text(spark, str(tmp_path / "cameras.txt")).first()["params"]) == 1500
+
+
+def test_ascii_mesh_and_short_file(spark, tmp_path):
+    ply.register(spark)
+    head = "ply\nformat ascii 1.0\nelement vertex {}\nproperty float x\nproperty float y\nproperty float z\n"
+    put(tmp_path / "mesh.ply", head.format(3) + "element face 1\nproperty list uchar int v\nend_header\n0 0 0\n1 0 0\n0 1 0\n3 0 1 2\n")
+    assert spark.read.format("ply").load(str(tmp_path / "mesh.ply")).count() == 3
+    put(tmp_path / "short.ply", head.format(5) + "end_header\n0 0 0\n1 0 0\n0 1 0\n")
+    with pytest.raises(Exception, match="2 vertices fewer"):
+        spark.read.format("ply").load(str(tmp_path / "short.ply")).count()
+    put(tmp_path / "h/long.ply", "ply\nformat ascii 1.0\n" + "comment x\n" * 20_000 + "element vertex 7\nproperty float opacity\nend_header\n")
+    row = ply.read_headers(spark, str(tmp_path / "h")).first()
+    assert (row["is_ply"], row["num_vertices"], row["properties"]) == (True, 7, ["opacity"])
+
+
+def test_bad_cloud_lines_raise(spark, tmp_path):
+    put(tmp_path / "a/points3D.txt", "1 0 0 0 1 2 3 0.5\n2 x 0 0 1 2 3 0.5\n3 0 0 0 1 2 3 0.5\n")
+    with pytest.raises(ValueError, match="not a number"):
+        cloud_files.load_clouds(spark, [str(tmp_path / "a")])
+    assert cloud_files.load_clouds(spark, [str(tmp_path / "a")], strict=False)[0].count() == 2

@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as contract
+from plumbline.queries import files  # noqa: F401
 from plumbline.queries.spark import REGISTRY
 
 SF = "/root/testdata/sf0.001"
