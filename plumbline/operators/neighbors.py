@@ -38,11 +38,12 @@ _SLACK = 1 + 1e-12
 
 @dataclass
 class Tiling:
-    """Points with their tile, the tile boxes, and the split tables from the root down."""
+    """Points with their tile, the tile boxes, the split tables from the root down, and the boxes of the split nodes."""
 
     points: DataFrame
     tiles: DataFrame
     levels: list[DataFrame]
+    inner: DataFrame | None = None
 
 
 def _inner_cuts(quantiles: Column, parts: Column, low: Column, high: Column) -> Column:
@@ -97,6 +98,7 @@ def build_tiles(distinct_points: DataFrame, key: str, tile_points: int = TILE_PO
     points = cut(distinct_points.withColumn("tile", F.lit(1).cast("bigint")))
     fractions = [i / _QUANTILES for i in range(1, _QUANTILES)]
     levels: list[DataFrame] = []
+    inner: DataFrame | None = None
     for depth in range(_MAX_DEPTH + 1):
         aggregates = [F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")]
         for a in _AXES:
@@ -113,10 +115,12 @@ def build_tiles(distinct_points: DataFrame, key: str, tile_points: int = TILE_PO
         cuts = [f"edges_{a}" for a in _AXES]
         level = split.select(key, "tile", *cuts)
         levels.append(level)
+        boxes = split.select(key, "tile", "weight", *box)
+        inner = boxes if inner is None else inner.unionAll(boxes)
         child = _child(F.col("tile"), *[_index_of(F.col(f"edges_{a}"), F.col(a)) for a in _AXES])
         moved = F.when(F.col("edges_x").isNotNull(), child).otherwise(F.col("tile"))
         points = cut(points.join(level, [key, "tile"], "left").withColumn("tile", moved).drop(*cuts))
-    return Tiling(points, nodes.select(key, "tile", F.col("weight").alias("tile_weight"), *box), levels)
+    return Tiling(points, nodes.select(key, "tile", F.col("weight").alias("tile_weight"), *box), levels, inner)
 
 
 def _tiles_in_reach(queries: DataFrame, tiling: Tiling, key: str) -> DataFrame:
@@ -273,15 +277,37 @@ def _merge_equal(points: DataFrame, key: str) -> DataFrame:
     return finite.groupBy(key, *_AXES).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _diagonal(low: str, high: str) -> Column:
+    sides = [F.col(f"{high}_{a}") - F.col(f"{low}_{a}") for a in _AXES]
+    return F.sqrt(sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2]) * (1 + 1e-9)
+
+
+def _sparse_reach(tiling: Tiling, k: int, key: str) -> DataFrame:
+    """For tiles of fewer than ``k`` points: the diagonal of the smallest node around them that holds ``k``.
+
+    A node's number without its last digit, to the base of the tiles, is its parent's, so the nodes around a tile need
+    no walk. The ball of that diagonal around any of the tile's points holds the whole node.
+    """
+    tile, up = F.col("tile"), F.col("_up")
+    sparse = tiling.tiles.filter(F.col("tile_weight") < k).select(key, "tile")
+    parents = F.transform(F.sequence(F.lit(1), F.lit(_MAX_DEPTH)), lambda i: F.call_function("shiftright", tile, i * 8))
+    around = sparse.select(key, "tile", F.explode(F.filter(parents, lambda p: p > 0)).alias("_up"))
+    nodes = tiling.inner.filter(F.col("weight") >= k).select(
+        F.col(key).alias("_key"), F.col("tile").alias("_node"), _diagonal("min", "max").alias("_diagonal")
+    )
+    found = around.join(nodes, (F.col(key) == F.col("_key")) & (up == F.col("_node")))
+    return found.groupBy(key, "tile").agg(F.max_by("_diagonal", "_up").alias("_near"))
+
+
 def _bounded(result: DataFrame, k: int, key: str, tiling: Tiling, size: Column, kth: Column) -> DataFrame:
-    """Add ``reach``: the k-th distance found so far, or the cloud's diagonal when fewer were found."""
+    """Add ``reach``: the k-th distance found so far; where the own tile has fewer points, the diagonal of the smallest
+    node around it that has enough, or of the cloud if it has too few altogether."""
     whole = tiling.tiles.groupBy(key).agg(
         *[F.min(f"min_{a}").alias(f"lo_{a}") for a in _AXES], *[F.max(f"max_{a}").alias(f"hi_{a}") for a in _AXES]
-    )
-    sides = [F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in _AXES]
-    diagonal = F.sqrt(sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2])
-    joined = result.join(whole.select(key, (diagonal * (1 + 1e-9)).alias("_diagonal")), key)
-    return joined.withColumn("reach", F.when(size >= k, kth).otherwise(F.col("_diagonal")) * _SLACK).drop("_diagonal")
+    ).select(key, _diagonal("lo", "hi").alias("_all"))
+    joined = result.join(whole, key).join(_sparse_reach(tiling, k, key), [key, "tile"], "left")
+    reach = F.when(size >= k, kth).otherwise(F.coalesce("_near", "_all")) * _SLACK
+    return joined.withColumn("reach", reach).drop("_all", "_near")
 
 
 def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_points: int = TILE_POINTS) -> DataFrame:

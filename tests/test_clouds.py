@@ -139,3 +139,24 @@ def test_cleaning_job(spark):
     stages = [r["stage"] for r in out["stages"].orderBy("stage_no").collect()]
     assert stages == ["input", "statistical_outliers", "radius_outliers", "voxel_downsample"]
     assert out["points"].filter("x > 20").count() == 0 and out["points"].filter("r <> 200").count() == 0
+
+
+def test_visits_grow_with_the_points(spark, monkeypatch):
+    """On a rolling surface with thin corners, the tiles visited per point stay the same when the points are four times as many."""
+    visits = {}
+    kept = neighbors.cut
+
+    def counting(df):
+        out = kept(df)
+        if "reach" in out.columns:
+            visits[n] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbors, "cut", counting)
+    for n in (6000, 24000):
+        rng = np.random.default_rng(n)
+        xy = rng.normal(0, 100, (n, 2))
+        pdf = pd.DataFrame({"cloud_id": "c", "x": xy[:, 0], "y": xy[:, 1], "z": 20 * np.sin(xy[:, 0] / 40)})
+        out = neighbors.nearest_distances(spark.createDataFrame(pdf), 20, tile_points=64)
+        assert out.filter("size(distances) <> 20").count() == 0
+    assert visits[24000] / 24000 < 1.5 * visits[6000] / 6000
