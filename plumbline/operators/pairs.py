@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.neighbors import TILE_POINTS, build_tiles, nearest_neighbors, spread
+from plumbline.operators.neighbors import nearest_neighbors, spread
 from plumbline.operators.ordering import with_position
 from plumbline.session import cut
 
+#: bands of sign bits of the search for similar images, bits of a band, and places that one task compares
+BANDS = 16
+BITS = 6
+BLOCK = 2048
+
 
 def sequential_pairs(
     images: DataFrame, overlap: int, key: str, id_column: str, order: Sequence[Column], hot_rows: float | None = None
@@ -55,63 +60,74 @@ def spatial_pairs(positions: DataFrame, k: int, key: str, id_column: str, max_di
     return _unordered(near, key, id_column, "neighbor_id", "distance")
 
 
+def directions(bands: int, bits: int, size: int) -> np.ndarray:
+    """Fixed directions of plus and minus ones, one row for each bit of each band; component ``i`` counts from 1."""
+    n, i = np.arange(bands * bits)[:, None], np.arange(1, size + 1)[None, :]
+    return np.where((i * 73 + n * 131 + i * n * 17) % 64 >= 32, 1, -1)
+
+
 def similar_pairs(
-    vectors: DataFrame,
-    k: int,
-    key: str,
-    id_column: str,
-    vector: str,
-    trees: int = 3,
-    seed: int = 7,
-    tile_points: int = TILE_POINTS,
+    vectors: DataFrame, k: int, key: str, id_column: str, vector: str, bands: int = BANDS, bits: int = BITS, block: int = BLOCK
 ) -> DataFrame:
-    """The ``k`` images with the highest cosine similarity to each image: ``(key, id, rank, similar_id, cosine)``.
+    """The ``k`` candidates with the highest cosine similarity to each image: ``(key, id, rank, similar_id, cosine)``.
 
-    Vectors are projected on random directions and cut into balanced tiles, once per tree; a task compares the
-    vectors of one tile. Collections that fit one tile are searched completely, larger ones approximately, as a
-    vocabulary tree does. Equal vectors are one place, of which the ``k + 1`` smallest ids can be answers.
+    Two images are candidates if all ``bits`` signs of their products with fixed directions agree in at least one of
+    ``bands`` bands; components count as ``floor(1024 x)``, so the signs are exact. This holds for collections of every
+    size; a list of a band has about ``2**-bits`` of a collection, so larger ones want more bits. Equal vectors
+    are one place, of which the ``k + 1`` smallest ids can be answers. A list of more than ``block`` places is compared
+    block by block in tasks of their own.
     """
     types = dict(vectors.dtypes)
-    id_type = types[id_column]
+    id_type, key_type = types[id_column], types[key]
     rows = vectors.select(key, F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     # two hashes name a place, so that different vectors do not share one
     rows = rows.withColumn("place", F.concat_ws("/", F.xxhash64("v").cast("string"), F.xxhash64(F.lit(1), "v").cast("string")))
     same = Window.partitionBy(key, "place").orderBy("id")
     kept = rows.withColumn("_rank", F.row_number().over(same)).filter(F.col("_rank") <= k + 1)
     places = cut(kept.groupBy(key, "place").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
-    hit = f"array<struct<cosine:double,id:{id_type}>>"
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(frame["v"].to_numpy())
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            codes = []
+            for v in frame["v"]:
+                whole = np.floor(np.asarray(v) * 1024).astype(np.int64)
+                signs = (directions(bands, bits, len(whole)) @ whole > 0).reshape(bands, bits)
+                codes.append((signs @ (1 << np.arange(bits))).tolist())
+            yield frame[[key, "place"]].assign(codes=codes)
+
+    codes = places.select(key, "place", "v").mapInPandas(sign, f"{key} {key_type}, place string, codes array<bigint>")
+    lists = cut(codes.select(key, "place", F.posexplode("codes").alias("band", "code")))
+    blocks = lists.groupBy(key, "band", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    member = lists.join(blocks, [key, "band", "code"]).withColumn("own", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
+    member = cut(member.join(places, [key, "place"]))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    at = (key, "band", "code", "i", "j")
+    asking = member.withColumn("i", F.col("own")).withColumn("j", every).select(*at, "place", "v")
+    asked = member.withColumn("j", F.col("own")).withColumn("i", every).select(*at, "ids", "v")
+
+    def unit(column: pd.Series) -> np.ndarray:
+        matrix = np.stack(column.to_numpy())
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(norms > 0, norms, 1.0)
-        owner = np.repeat(np.arange(len(frame)), frame["ids"].str.len())
-        ids = np.concatenate([np.asarray(i) for i in frame["ids"]])
+        return matrix / np.where(norms > 0, norms, 1.0)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({key: [], "place": [], "hits": []})
+        queries, matrix = unit(left["v"]), unit(right["v"])
+        owner = np.repeat(np.arange(len(right)), right["ids"].str.len())
+        ids = np.concatenate([np.asarray(i) for i in right["ids"]])
         hits = []
-        for start in range(0, len(matrix), 256):
-            for line in (matrix[start: start + 256] @ matrix.T)[:, owner]:
+        for start in range(0, len(queries), 256):
+            for line in (queries[start: start + 256] @ matrix.T)[:, owner]:
                 near = np.arange(len(line))
                 if len(line) > k + 1:
                     near = np.flatnonzero(line >= np.partition(line, len(line) - k - 1)[len(line) - k - 1])
                 best = near[np.lexsort((ids[near], -line[near]))][: k + 1]
-                hits.append([{"cosine": float(line[i]), "id": ids[i].item()} for i in best])
-        return frame.assign(hits=hits)[[key, "place", "hits"]]
-
-    size = places.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0
-    rng = np.random.default_rng(seed)
-    found: DataFrame | None = None
-    for _ in range(trees):
-        directions = rng.normal(size=(3, size))
-        projected = [
-            F.aggregate(F.zip_with("v", F.array(*[F.lit(float(d)) for d in direction]), lambda a, b: a * b), F.lit(0.0), lambda acc, p: acc + p)
-            for direction in directions
-        ]
-        located = places.select(key, "place", "ids", "v", F.lit(1).cast("bigint").alias("weight"), *[p.alias(a) for p, a in zip(projected, "xyz")])
-        tiling = build_tiles(located, key, tile_points)
-        hits = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInPandas(compare, f"{key} {types[key]}, place string, hits {hit}")
-        found = hits if found is None else found.unionByName(hits)
-        if not tiling.levels:
-            break
+                hits.append([{"cosine": float(line[n]), "id": ids[n].item()} for n in best])
+        return left[[key, "place"]].assign(hits=hits)
+
+    hit = f"{key} {key_type}, place string, hits array<struct<cosine:double,id:{id_type}>>"
+    found = spread(asking, *at).groupBy(*at).cogroup(spread(asked, *at).groupBy(*at)).applyInPandas(compare, hit)
     exploded = found.select(key, "place", F.explode("hits").alias("h"))
     once = exploded.groupBy(key, "place", F.col("h.id").alias("similar_id")).agg(F.max("h.cosine").alias("cosine"))
     best = Window.partitionBy(key, "place").orderBy(F.desc("cosine"), "similar_id")
