@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import runs
 from plumbline.params import Acceptance, CloudCleaning, FrameGate
-from plumbline.plans import cloud_cleaning, frame_selection, georeference, masking, selection, training_set
+from plumbline.plans import cloud_cleaning, frame_selection, georeference, masking, pose_qa, selection, training_set
 
 
 @dataclass
@@ -25,6 +25,8 @@ class SurveyInputs:
     points: DataFrame | None = None
     training_images: DataFrame | None = None
     training_poses: DataFrame | None = None
+    #: cameras, images, observations and points of sparse models
+    model: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None
 
 
 @dataclass
@@ -41,64 +43,87 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class Survey:
-    """Writes every stage table below ``root`` and reads it back, so that later stages start from finished tables."""
+    """Writes every stage table below ``root`` and reads it back, so that later stages start from finished tables.
+
+    A stage that raises is logged as FAILED and ends neither the run nor stages that do not need it. On resume a stage
+    is kept unless one that it is built from was built again.
+    """
 
     def __init__(self, spark: SparkSession, root: str, resume: bool = True):
         self.spark, self.root, self.resume = spark, root, resume
         self.log: list[tuple[int, str, str, str]] = []
+        self.rebuilt: set[str] = set()
 
-    def stage(self, name: str, build: Callable[[], dict[str, DataFrame]], tables: tuple[str, ...]) -> dict[str, DataFrame]:
+    def stage(
+        self, name: str, build: Callable[[], dict[str, DataFrame]], tables: tuple[str, ...], after: Sequence[str] = ()
+    ) -> dict[str, DataFrame] | None:
+        """The stage's tables, or None if it failed; ``after`` names the stages that it is built from."""
         paths = {t: f"{self.root}/{name}/{t}" for t in tables}
-        if self.resume and all(_exists(self.spark, p) for p in paths.values()):
-            status, note = "SUCCESS", "kept from an earlier run"
+        current = self.resume and not self.rebuilt.intersection(after)
+        if current and all(_exists(self.spark, p) for p in paths.values()):
+            self.log.append((len(self.log), name, "SUCCESS", "kept from an earlier run"))
         else:
-            built = build()
-            for table, path in paths.items():
-                built[table].write.mode("overwrite").parquet(path)
-            status, note = "SUCCESS", "written"
-        self.log.append((len(self.log), name, status, note))
+            self.rebuilt.add(name)
+            try:
+                built = build()
+                for table, path in paths.items():
+                    built[table].write.mode("overwrite").parquet(path)
+            except Exception as error:  # whatever a stage raises is that stage's failure
+                self.log.append((len(self.log), name, "FAILED", f"{type(error).__name__}: {error}"[:500]))
+                return None
+            self.log.append((len(self.log), name, "SUCCESS", "written"))
         return {t: self.spark.read.parquet(p) for t, p in paths.items()}
 
     def run(self, data: SurveyInputs, plan: SurveyPlan = SurveyPlan()) -> dict[str, dict[str, DataFrame]]:
         out: dict[str, dict[str, DataFrame]] = {}
+
+        def keep(name: str, *args, **kwargs) -> None:
+            if (tables := self.stage(name, *args, **kwargs)) is not None:
+                out[name] = tables
+
         if data.frames is not None:
-            out["frames"] = self.stage("frames", lambda: frame_selection.select(data.frames, plan.gate), ("manifest", "summary"))
+            keep("frames", lambda: frame_selection.select(data.frames, plan.gate), ("manifest", "summary"))
         if data.detections is not None and "frames" in out:
             kept = out["frames"]["manifest"].filter("accepted").select("video_id", "frame_id", "width", "height")
-            out["masks"] = self.stage("masks", lambda: masking.mask(kept, data.detections), ("runs", "coverage", "summary"))
+            keep("masks", lambda: masking.mask(kept, data.detections), ("runs", "coverage", "summary"), after=("frames",))
         if data.attempts is not None:
-            out["selection"] = self.stage(
-                "selection", lambda: selection.select(data.attempts, policy=plan.policy), ("attempts", "selected", "failed"))
+            keep("selection", lambda: selection.select(data.attempts, policy=plan.policy), ("attempts", "selected", "failed"))
+        if data.model is not None:
+            keep("pose_qa", lambda: {"models": pose_qa.validate_models(*data.model)}, ("models",))
         if data.poses is not None and data.fixes is not None:
-            out["georeference"] = self.stage(
+            keep(
                 "georeference", lambda: georeference.georeference(data.poses, data.fixes, plan.sync_tolerance),
                 ("flights", "cameras", "trajectory", "features"))
         if data.points is not None:
-            out["cloud"] = self.stage("cloud", lambda: cloud_cleaning.clean(data.points, plan.cleaning), ("points", "before", "after", "stages", "report"))
+            keep("cloud", lambda: cloud_cleaning.clean(data.points, plan.cleaning), ("points", "before", "after", "stages", "report"))
         if data.training_images is not None and data.training_poses is not None:
-            out["training"] = self.stage(
+            keep(
                 "training", lambda: training_set.prepare(data.training_images, data.training_poses),
                 ("frames", "intrinsics", "normalization", "record", "scenes"))
-        out["report"] = self.stage("report", lambda: {"stages": self.stage_rows(out), "status": self.status(out)}, ("stages", "status"))
+        report = {"stages": lambda: self.stage_rows(out), "status": lambda: self.status(out), "inventory": self.inventory}
+        keep("report", lambda: {name: make() for name, make in report.items()}, tuple(report), after=[n for _, n, _, _ in self.log])
         return out
 
     def stage_rows(self, out: dict[str, dict[str, DataFrame]]) -> DataFrame:
         """Counts by status of every finished stage as ``(run_id, stage, metric, value)``."""
-        parts = []
+        rows = self.spark.createDataFrame([], "run_id string, stage string, metric string, value bigint")
         for stage, table, column in (
-            ("frames", "manifest", "quality_status"), ("selection", "selected", "status"), ("georeference", "flights", "status"),
-            ("cloud", "report", "status"), ("training", "scenes", "status"),
+            ("frames", "manifest", "quality_status"), ("selection", "selected", "status"), ("pose_qa", "models", "validation_status"),
+            ("georeference", "flights", "status"), ("cloud", "report", "status"), ("training", "scenes", "status"),
         ):
             if stage in out:
-                parts.append(out[stage][table].groupBy(F.col(column).alias("metric")).agg(F.count(F.lit(1)).alias("value")).select(
+                rows = rows.unionByName(out[stage][table].groupBy(F.col(column).alias("metric")).agg(F.count(F.lit(1)).alias("value")).select(
                     F.lit(self.root).alias("run_id"), F.lit(stage).alias("stage"), "metric", "value"))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
         return rows
 
     def status(self, out: dict[str, dict[str, DataFrame]]) -> DataFrame:
-        """COMPLETE, or COMPLETE_WITH_WARNINGS when any flight, scene or cloud is not clean."""
+        """FAILED when a stage failed or a row is in error; COMPLETE_WITH_WARNINGS when any flight, scene or cloud is not clean."""
         rows = self.stage_rows(out).filter("stage <> 'frames'")
         clean = F.col("metric").isin("PASS", "READY", "COMPLETE")
-        return runs.report_status(rows.select("run_id", F.when(clean, "SUCCESS").otherwise("WARNING").alias("status")))
+        judged = rows.select("run_id", F.when(clean, "SUCCESS").when(F.col("metric") == "ERROR", "FAILED").otherwise("WARNING").alias("status"))
+        stages = self.spark.createDataFrame([(self.root, status) for _, _, status, _ in self.log], "run_id string, status string")
+        return runs.report_status(judged.unionByName(stages))
+
+    def inventory(self) -> DataFrame:
+        """``(run_id, stage, status, note)`` of every stage that was tried, in order."""
+        return self.spark.createDataFrame([(self.root, i, *rest) for i, *rest in self.log], "run_id string, pos int, stage string, status string, note string")

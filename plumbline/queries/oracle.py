@@ -578,7 +578,7 @@ FROM events GROUP BY 1, 2, 3"""
 ORACLE["stream_sync"] = f"""
 WITH {_SYNCED}
 SELECT flight_id, frame_no, CASE WHEN matched THEN gps_seq END AS gps_seq, CASE WHEN matched THEN round(time_diff_s, 4) END AS time_diff_s, matched
-FROM synced WHERE unmatched_reason IS DISTINCT FROM 'no_timestamp'"""
+FROM synced"""
 ORACLE["stream_dedupe"] = ORACLE["frame_dedupe"]
 
 

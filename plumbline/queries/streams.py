@@ -63,9 +63,9 @@ def sync_stream(spark: SparkSession, sf_dir: str, tolerance: float) -> DataFrame
     event_time = F.col("ts").cast("timestamp")
     seconds = F.unix_micros(event_time) / 1e6
     timeless = (F.col("event_type") == "view") & (F.col("event_id") % 11 == 0)
-    events = _stream(spark, sf_dir, "events").filter(~timeless).select(
+    events = _stream(spark, sf_dir, "events").select(
         F.col("user_id").alias("flight_id"), F.when(F.col("event_type") == "view", "pose").otherwise("gps").alias("side"),
-        F.col("event_id").alias("row_id"), seconds.alias("ts_s"), event_time.alias("event_time"),
+        F.col("event_id").alias("row_id"), F.when(~timeless, seconds).alias("ts_s"), event_time.alias("event_time"),
     )
     # rows of a second source, far in the future, move the watermark past the last pose
     end = _stream(spark, sf_dir, "region").select(

@@ -69,16 +69,21 @@ def nearest_fix_stream(
     ``events`` is one stream of both sides: ``(key, side, row_id, ts_s, event_time)`` with side ``pose`` or ``gps``.
     State is kept per time slice of ``width`` seconds; a fix goes to every slice it is within tolerance of, so a
     slice needs no other one, a busy flight is many keys, and closed slices leave nothing behind. Rows later than the
-    watermark are dropped by Spark. Append mode.
+    watermark are dropped by Spark. Poses without a time are emitted at once, unmatched. Append mode.
     """
     width = 8 * tolerance if width is None else width
     at = F.floor(F.col("ts_s") / width)
     low, high = F.floor((F.col("ts_s") - tolerance) / width), F.floor((F.col("ts_s") + tolerance) / width)
     slices = F.when(F.col("side") == "gps", F.sequence(low, high)).otherwise(F.array(at))
-    timed = events.withWatermark("event_time", delay).withColumn("slice", F.explode(slices))
-    return timed.groupBy(key, "slice").transformWithStateInPandas(
+    timed = events.filter("ts_s IS NOT NULL").withWatermark("event_time", delay).withColumn("slice", F.explode(slices))
+    matched = timed.groupBy(key, "slice").transformWithStateInPandas(
         NearestFix(key, tolerance, width), _OUTPUT.format(key=key), "Append", "EventTime"
     )
+    unknown = [F.lit(None).cast(kind).alias(name) for name, kind in (("gps_seq", "bigint"), ("time_diff_s", "double"))]
+    timeless = events.filter("side = 'pose' AND ts_s IS NULL").select(
+        F.col(key).cast("bigint").alias(key), F.col("row_id").alias("pose_id"), "ts_s", *unknown, F.lit(False).alias("matched")
+    )
+    return matched.unionByName(timeless)
 
 
 def dropped_rows(progress: list[dict]) -> int:

@@ -249,3 +249,23 @@ def test_full_run_and_resume(spark, tmp_path):
     again = full_run.Survey(spark, str(tmp_path / "run"))
     again.run(data, plan)
     assert {note for *_, note in again.log} == {"kept from an earlier run"}
+
+
+def test_full_run_isolates_failures(spark, tmp_path):
+    broken = spark.createDataFrame([(1,)], "nothing int")
+    data = full_run.SurveyInputs(attempts=tries(spark), points=broken, model=model(spark))
+    survey = full_run.Survey(spark, str(tmp_path / "run"))
+    out = survey.run(data)
+    assert {name: status for _, name, status, _ in survey.log} == {"selection": "SUCCESS", "pose_qa": "SUCCESS", "cloud": "FAILED", "report": "SUCCESS"}
+    assert out["report"]["status"].first()["report_status"] == "FAILED" and "cloud" not in out
+    assert out["pose_qa"]["models"].first()["validation_status"] == "PASS"
+    assert [r["stage"] for r in out["report"]["inventory"].orderBy("pos").collect()] == ["selection", "pose_qa", "cloud"]
+    rng = np.random.default_rng(0)
+    points = spark.createDataFrame(pd.DataFrame(rng.normal(size=(200, 3)), columns=list("xyz")).assign(cloud_id="c", point_id=range(200)))
+    again = full_run.Survey(spark, str(tmp_path / "run"))
+    fixed = again.run(full_run.SurveyInputs(attempts=tries(spark), points=points, model=model(spark)), full_run.SurveyPlan(cleaning=CloudCleaning(neighbors=8)))
+    assert {name: note for _, name, _, note in again.log} == {
+        "selection": "kept from an earlier run", "pose_qa": "kept from an earlier run", "cloud": "written", "report": "written"}
+    assert fixed["report"]["status"].first()["report_status"] == "COMPLETE_WITH_WARNINGS"
+    empty = full_run.Survey(spark, str(tmp_path / "none")).run(full_run.SurveyInputs())
+    assert empty["report"]["stages"].count() == 0
