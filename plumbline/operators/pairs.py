@@ -17,6 +17,8 @@ from plumbline.session import cut
 BANDS = 16
 BITS = 6
 BLOCK = 2048
+#: places of a collection that one task of the exact search compares with as many others
+EXACT_BLOCK = 8192
 
 
 def sequential_pairs(
@@ -77,14 +79,8 @@ def similar_pairs(
     are one place, of which the ``k + 1`` smallest ids can be answers. A list of more than ``block`` places is compared
     block by block in tasks of their own.
     """
-    types = dict(vectors.dtypes)
-    id_type, key_type = types[id_column], types[key]
-    rows = vectors.select(key, F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    # two hashes name a place, so that different vectors do not share one
-    rows = rows.withColumn("place", F.concat_ws("/", F.xxhash64("v").cast("string"), F.xxhash64(F.lit(1), "v").cast("string")))
-    same = Window.partitionBy(key, "place").orderBy("id")
-    kept = rows.withColumn("_rank", F.row_number().over(same)).filter(F.col("_rank") <= k + 1)
-    places = cut(kept.groupBy(key, "place").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
+    rows, places = _places(vectors, k, key, id_column, vector)
+    key_type = dict(vectors.dtypes)[key]
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -105,6 +101,41 @@ def similar_pairs(
     asking = member.withColumn("i", F.col("own")).withColumn("j", every).select(*at, "place", "v")
     asked = member.withColumn("j", F.col("own")).withColumn("i", every).select(*at, "ids", "v")
 
+    return _best(rows, asking, asked, at, k, key, id_column)
+
+
+def exact_similar_pairs(vectors: DataFrame, k: int, key: str, id_column: str, vector: str, block: int = EXACT_BLOCK) -> DataFrame:
+    """The ``k`` images with the highest cosine similarity to each image: ``(key, id, rank, similar_id, cosine)``.
+
+    Exact at every size: a collection is dealt into blocks of about ``block`` places, and each two blocks are compared
+    in a task of their own, which only the best of each place leave. The work grows with the square of a collection.
+    """
+    rows, places = _places(vectors, k, key, id_column, vector)
+    blocks = places.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    member = cut(places.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    at = (key, "i", "j")
+    asking = member.withColumn("i", F.col("own")).withColumn("j", every).select(*at, "place", "v")
+    asked = member.withColumn("j", F.col("own")).withColumn("i", every).select(*at, "ids", "v")
+    return _best(rows, asking, asked, at, k, key, id_column)
+
+
+def _places(vectors: DataFrame, k: int, key: str, id_column: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with the name of their place, and the places with the ``k + 1`` smallest ids of their equal vectors."""
+    rows = vectors.select(key, F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    # two hashes name a place, so that different vectors do not share one
+    rows = rows.withColumn("place", F.concat_ws("/", F.xxhash64("v").cast("string"), F.xxhash64(F.lit(1), "v").cast("string")))
+    same = Window.partitionBy(key, "place").orderBy("id")
+    kept = rows.withColumn("_rank", F.row_number().over(same)).filter(F.col("_rank") <= k + 1)
+    places = cut(kept.groupBy(key, "place").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
+    return rows, places
+
+
+def _best(rows: DataFrame, asking: DataFrame, asked: DataFrame, at: Sequence[str], k: int, key: str, id_column: str) -> DataFrame:
+    """The ``k`` best answers of each row, from places that ask and places that are asked in the same group ``at``."""
+    types = dict(rows.dtypes)
+    id_type, key_type = types["id"], types[key]
+
     def unit(column: pd.Series) -> np.ndarray:
         matrix = np.stack(column.to_numpy())
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -542,7 +542,7 @@ def pairs_spatial(spark, sf_dir):
 @query
 def pairs_similar(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").withColumn("flight_id", F.lit(0))
-    alike = pairs.similar_pairs(vectors, 5, "flight_id", "vec_id", "embedding")
+    alike = pairs.exact_similar_pairs(vectors, 5, "flight_id", "vec_id", "embedding")
     return alike.select("vec_id", F.col("rank").cast("bigint").alias("rank"), "similar_id", *r4("cosine"))
 
 

@@ -178,6 +178,33 @@ def test_similar_pairs_by_one_rule(spark, bits):
     assert (results[0] == results[1]).all()
 
 
+@pytest.mark.parametrize("block", [90, 5000])
+def test_exact_similar_pairs(spark, block):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 16))
+    v[200:300] = v[0]
+    df = spark.createDataFrame([("c", i, x.tolist()) for i, x in enumerate(v)], "c string, id bigint, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(cosine, -2)
+    want = np.argsort(-cosine, axis=1, kind="stable")[:, :3]
+    got = pairs.exact_similar_pairs(df, 3, "c", "id", "v", block=block).toPandas().sort_values(["id", "rank"])
+    assert (got.similar_id.to_numpy().reshape(-1, 3) == want).mean() > 0.999
+    assert np.allclose(got.cosine.to_numpy().reshape(-1, 3), np.take_along_axis(cosine, want, 1))
+
+
+def test_similar_query_finds_all_of_the_true_best(spark):
+    from plumbline.queries.spark import REGISTRY
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").toPandas()
+    v, ids = np.stack(table.embedding).astype(float), table.vec_id.to_numpy()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -2)
+    got = REGISTRY["pairs_similar"](spark, "/root/testdata/sf0.01").toPandas().sort_values(["vec_id", "rank"])
+    assert len(got) == 5 * len(ids) and np.allclose(got.cosine.to_numpy().reshape(-1, 5), -np.sort(-cosine, axis=1)[:, :5], atol=6e-5)
+
+
 def test_training_set(spark, tmp_path):
     images = spark.createDataFrame([("s", n, r, 640, 480) for n, r in (("A_1.JPG", True), ("a_2.jpg", True), ("a_3.jpg", True), ("bad.jpg", False))],
                                    "scene_id string, image_name string, readable boolean, width int, height int")
