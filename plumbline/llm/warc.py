@@ -281,21 +281,47 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def _members(file: pa.NativeFile, start: int, end: int, block: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of the gzip members between two places, read block by block."""
-    at, begin, inflate, out, rest = start, start, zlib.decompressobj(31), [], b""
-    while rest or at < end:
-        if not rest:
-            rest = file.read_at(min(block, end - at), at)
-            at += len(rest)
-            if not rest:
+def _members(file: pa.NativeFile, start: int, end: int, block: int = 1 << 20) -> Iterator[tuple[int, int | None, bytes | Exception]]:
+    """(offset, length, content) of the gzip members between two places, read block by block.
+
+    Behind a damaged member the search goes on at the next gzip header; its content is the error.
+    """
+    held_at, held = start, b""
+
+    def read(at: int) -> bytes:
+        nonlocal held_at, held
+        if not held_at <= at < held_at + len(held):
+            held_at, held = at, file.read_at(max(0, min(block, end - at)), at)
+        return held[at - held_at :]
+
+    def member(at: int) -> tuple[int, bytes]:
+        inflate, out = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if not (rest := read(at)):
                 raise Damaged("file ends within a record")
-        out.append(inflate.decompress(rest))
-        rest = inflate.unused_data if inflate.eof else b""
-        if inflate.eof:
-            stop = at - len(rest)
-            yield begin, stop - begin, b"".join(out)
-            begin, inflate, out = stop, zlib.decompressobj(31), []
+            out.append(inflate.decompress(rest))
+            at += len(rest) - len(inflate.unused_data)
+        return at, b"".join(out)
+
+    def header(at: int) -> int:
+        tail = b""
+        while rest := read(at):
+            if (found := (tail + rest).find(b"\x1f\x8b\x08")) >= 0:
+                return at - len(tail) + found
+            at, tail = at + len(rest), (tail + rest)[-2:]
+        return end
+
+    begin, failed = start, False
+    while begin < end:
+        try:
+            stop, content = member(begin)
+        except (Damaged, zlib.error) as e:
+            if not failed:  # one error for what lies before the next whole member
+                yield begin, None, e
+            begin, failed = header(begin + 1), True
+            continue
+        yield begin, stop - begin, content
+        begin, failed = stop, False
 
 
 def read_packages(packages: DataFrame, path: str = "path", payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -339,18 +365,21 @@ def read_packages(packages: DataFrame, path: str = "path", payload: bool = True,
                         for length in lengths:
                             found.append((start + ends, length, data[ends : ends + length]))
                             ends += length
-                    try:
-                        for offset, length, content in found:
+                    for offset, length, content in found:
+                        try:
+                            if isinstance(content, Exception):
+                                raise content
                             content = content if lengths[0] < 0 else zlib.decompress(content, 31)
                             rows.append(parse_record(content) | {"path": name, "offset": offset, "length": length})
-                            if not payload:
-                                rows[-1]["payload"] = None
-                            held += len(content)
-                            if held > 2 * range_bytes:
-                                yield pa.RecordBatch.from_pylist(rows, schema=layout)
-                                rows, held = [], 0
-                    except (Damaged, zlib.error, ValueError) as e:
-                        rows.append({"path": name, "offset": start, "error": f"{type(e).__name__}: {e}"[:300]})
+                        except (Damaged, zlib.error, ValueError) as e:
+                            rows.append({"path": name, "offset": offset, "error": f"{type(e).__name__}: {e}"[:300]})
+                            continue
+                        if not payload:
+                            rows[-1]["payload"] = None
+                        held += len(content)
+                        if held > 2 * range_bytes:
+                            yield pa.RecordBatch.from_pylist(rows, schema=layout)
+                            rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=layout)
 

@@ -73,6 +73,24 @@ def test_without_index_and_damaged(spark, tmp_path):
     assert {r.p: (r.n, r.e) for r in rows} == {"plain": (5, 0), "deflated": (0, 1), "noise": (0, 1), "empty": (0, 1), "absent": (0, 1)}
 
 
+def test_one_flipped_byte_costs_one_record(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "plain.zip", "w") as z:
+        z.writestr("archive/x.warc.gz", b"".join(member(b"%d " % i * 400) for i in range(30)))
+    warc.write_packages(pages(spark, [(i, "u", f"{i} " * 400) for i in range(30)]), f"file://{tmp_path}/w").collect()
+    written = [p for p in (tmp_path / "w").rglob("*.zip")]
+    before = warc.read_packages(spark.createDataFrame([(str(p),) for p in written + [tmp_path / "plain.zip"]], "path string")).collect()
+    whole = Counter(r.path for r in before)
+    assert len(before) == 60 and all(r.error is None for r in before)
+    for name in whole:
+        row = sorted((r for r in before if r.path == name), key=lambda r: r.offset)[whole[name] // 3]
+        data = bytearray(open(name, "rb").read())
+        data[row.offset + row.length // 2] ^= 0x55
+        open(name, "wb").write(data)
+    after = warc.read_packages(spark.createDataFrame([(n,) for n in whole], "path string")).collect()
+    assert Counter(r.path for r in after if r.error is None) == {n: c - 1 for n, c in whole.items() if c > 1}
+    assert Counter(r.path for r in after if r.error) == {n: 1 for n in whole}
+
+
 def test_zip64_directory(tmp_path):
     """A directory whose entry, count and place are only in the ZIP64 fields."""
     data = member(b"")
