@@ -78,3 +78,46 @@ FROM ruled LEFT JOIN m ON ruled.host = m.host"""
 
 
 LLM_ORACLE["op8_link_graph"] = _link_graph()
+
+#: crc32 of a text of ASCII characters, from the polynomial's byte table
+_CRC_TABLE = """crc AS (SELECT list_transform(range(0, 256), lambda x: list_reduce(list_concat([x], range(0, 8)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t)"""
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: xor(t[1 + (xor(a, b) & 255)], a // 256)))"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _tree(name: str, source: str) -> str:
+    """Levels (grp, level, d) of the trees over the lists of ``source``, and each group's root."""
+    return f"""{name} AS (SELECT grp, 0 AS level, d FROM {source}
+    UNION ALL SELECT grp, level + 1, list_transform(range(0, (len(d) + 1) // 2), lambda i: sha256(d[2*i + 1] || coalesce(d[2*i + 2], ''))) FROM {name} WHERE len(d) > 1),
+{name}_root AS (SELECT grp, d[1] AS root FROM {name} WHERE len(d) = 1)"""
+
+
+#: a step: the side of the sibling and its digest, or - where the node is alone; pos counts from 0
+_STEP = "CASE WHEN (pos >> level) % 2 = 1 THEN 'L' || d[pos >> level] WHEN len(d) > (pos >> level) + 1 THEN 'R' || d[(pos >> level) + 2] ELSE '-' END"
+
+LLM_ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+rows_ AS (SELECT doc_id, lang, sha256({"||".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    sha256({"||".join(map(_field, ("doc_id", "source", "lang", "(n_chars + CASE WHEN " + _CRC.format("CAST(doc_id AS VARCHAR)") + " % 7 = 0 THEN 1 ELSE 0 END)", "text")))}) AS used
+    FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows_),
+leaves AS (SELECT lang AS grp, list(leaf ORDER BY pos) AS d FROM placed GROUP BY lang),
+{_tree("low", "leaves")},
+langs AS (SELECT grp AS lang, root AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos FROM low_root),
+tops AS (SELECT 0 AS grp, list(subroot ORDER BY pos) AS d FROM langs),
+{_tree("high", "tops")},
+ends AS (SELECT lang, subroot, coalesce(list({_STEP} ORDER BY level) FILTER (len(d) > 1), []) AS steps FROM langs, high GROUP BY lang, subroot),
+starts AS (SELECT doc_id, lang, leaf, used, coalesce(list({_STEP} ORDER BY level) FILTER (len(d) > 1), []) AS steps
+           FROM placed JOIN low ON placed.lang IS NOT DISTINCT FROM low.grp GROUP BY doc_id, lang, leaf, used, pos),
+proofs AS (SELECT doc_id, leaf, used, subroot, high_root.root AS root, list_concat(starts.steps, ends.steps) AS proof
+           FROM starts JOIN ends ON starts.lang IS NOT DISTINCT FROM ends.lang, high_root),
+folds AS (SELECT *, list_reduce(list_concat([used], proof), lambda a, s: sha256(
+    CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda s: s[2:]), '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM folds"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import balltree, decontaminate, licenses, linkgraph, mixing, quality, secrets, simhash, toxicity, warc
+from plumbline.llm import balltree, decontaminate, licenses, linkgraph, merkle, mixing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -121,3 +121,16 @@ def op3_quality(spark, sf_dir):
 def op4_ball_tree_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return balltree.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampers = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    values = [F.col("n_chars") + 1 if name == "n_chars" else F.col(name) for name in merkle.FIELDS]
+    found = merkle.manifest(docs, also={"tampered": F.when(tampers, merkle.leaf_digest(values))})
+    siblings = F.concat_ws("", F.transform("proof", lambda step: F.substring(step, 2, 64)))
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
