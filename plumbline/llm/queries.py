@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import balltree, decontaminate, licenses, linkgraph, merkle, mixing, quality, secrets, simhash, toxicity, warc
+from plumbline.llm import balltree, conversations, decontaminate, licenses, linkgraph, merkle, mixing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -134,3 +134,21 @@ def op13_merkle_manifest(spark, sf_dir):
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root")
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The query's damage to conversations, by the crc32 of ``conv_id:turn`` (nulls: one space) modulo 20."""
+    def known(column: str):
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat_ws(":", known("conv_id"), known("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    role = F.when(kind == 4, "user").otherwise(known("role"))
+    kept = rows.filter(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("copy"))
+    return kept.drop("copy")
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(damaged(rows), rows)
