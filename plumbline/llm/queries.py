@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import balltree, conversations, decontaminate, licenses, linkgraph, merkle, mixing, quality, secrets, simhash, toxicity, warc
+from plumbline.llm import balltree, capfilters, conversations, decontaminate, licenses, linkgraph, merkle, mixing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 from plumbline.session import checkpoint_dir
 
@@ -152,3 +152,8 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversations.repair(damaged(rows), rows)
+
+
+@query
+def op11_cap_filters(spark, sf_dir):
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
