@@ -1,15 +1,20 @@
 """Exact k-nearest and radius self-joins of points.
 
 Space is cut into tiles of about equal point count: each pass splits the overfull tiles along their widest axis
-at approximate quantiles, so dense regions simply get more and smaller tiles. A task then compares the points of
-one tile with NumPy. The k-th distance inside the own tile bounds the search; only tiles that this ball touches
+at approximate quantiles, so dense regions simply get more and smaller tiles. A task then searches the points of
+one tile through a k-d tree. The k-th distance inside the own tile bounds the search; only tiles that this ball touches
 are visited, and crowded tiles are visited by several tasks. Nothing is ever paired up in a shuffle, and equal
 coordinates are merged with a weight before any of this, so no group of copies can fill a tile.
+
+In a tile, queries pass in blocks of neighbours. The leaves nearest to a block give a first k-th distance, and only leaves
+whose box is no farther than the running k-th distance are read. Radius counts walk down from the root: a node wholly
+outside the balls of a block is left, one wholly inside them adds its weight, and only leaves between are compared.
+Boxes and points are measured by the same sums of squares, which rounding keeps in order, so ties are never lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.session import cut
 
-#: distinct points that one task compares with each other
-TILE_POINTS = 2048
+#: distinct points of a tile, which one task searches
+TILE_POINTS = 16_384
 #: queries that one task answers for one tile
-TILE_QUERIES = 8192
+TILE_QUERIES = 16_384
+#: points of a leaf, and queries that are answered together
+LEAF_POINTS = 64
 
 #: parts one axis can be cut into at once, and room for the parts of one node in a tile number
 _QUANTILES = 64
@@ -32,18 +39,19 @@ _BASE = 256
 _GRID_PASSES = 2
 _MAX_DEPTH = 7
 _AXES = ("x", "y", "z")
-_CHUNK = 64
 _SLACK = 1 + 1e-12
 
 
 @dataclass
 class Tiling:
-    """Points with their tile, the tile boxes, the split tables from the root down, and the boxes of the split nodes."""
+    """Points with their tile, the tile boxes, the split tables from the root down, the boxes of the split nodes, and the
+    cell of each tile: nothing of another tile lies in ``lo <= v < hi``."""
 
     points: DataFrame
     tiles: DataFrame
     levels: list[DataFrame]
     inner: DataFrame | None = None
+    cells: DataFrame | None = None
 
 
 def _inner_cuts(quantiles: Column, parts: Column, low: Column, high: Column) -> Column:
@@ -64,7 +72,7 @@ def _split_rule(tile_points: int, depth: int) -> list[Column]:
     low, high = ({a: F.col(f"{side}_{a}") for a in _AXES} for side in ("min", "max"))
     spread = {a: (high[a] > low[a]).cast("int") for a in _AXES}
     used = spread["x"] + spread["y"] + spread["z"]
-    fill = F.col("n") / (0.5 * tile_points)
+    fill = F.col("n") / (0.75 * tile_points)
     splits = (F.col("n") > tile_points) & (used > 0)
     widest = F.greatest(*[high[a] - low[a] for a in _AXES])
     taken = F.lit(False)
@@ -93,6 +101,25 @@ def _child(tile: Column, ix: Column, iy: Column, iz: Column) -> Column:
     return tile * _BASE + (ix * across[0] + iy) * across[1] + iz
 
 
+def _cells(nodes: DataFrame, key: str, levels: list[DataFrame]) -> DataFrame:
+    """(key, tile, lo_x, hi_x, ...) of all tiles, by walking the split tables from the root; one row a tile."""
+    open_ends = [F.lit(end).alias(f"{side}_{a}") for a in _AXES for side, end in (("lo", -float("inf")), ("hi", float("inf")))]
+    cells = nodes.select(key, F.lit(1).cast("bigint").alias("tile"), *open_ends).distinct()
+    for level in levels:
+        cells = cells.join(level, [key, "tile"], "left")
+        for a in _AXES:
+            edges = F.coalesce(F.col(f"edges_{a}"), F.array().cast("array<double>"))
+            low, high = F.concat(F.array(f"lo_{a}"), edges).alias("lo"), F.concat(edges, F.array(f"hi_{a}")).alias("hi")
+            cells = cells.select("*", F.posexplode(F.arrays_zip(low, high)).alias(f"at_{a}", f"cell_{a}"))
+            cells = cells.withColumns({f"{side}_{a}": F.col(f"cell_{a}.{side}") for side in ("lo", "hi")})
+        child = _child(F.col("tile"), *[F.col(f"at_{a}") for a in _AXES])
+        cells = cells.select(
+            key, F.when(F.col("edges_x").isNotNull(), child).otherwise(F.col("tile")).alias("tile"),
+            *[f"{side}_{a}" for a in _AXES for side in ("lo", "hi")],
+        )
+    return cells
+
+
 def build_tiles(distinct_points: DataFrame, key: str, tile_points: int = TILE_POINTS) -> Tiling:
     """Tile distinct points ``(key, x, y, z, weight, ...)``."""
     points = cut(distinct_points.withColumn("tile", F.lit(1).cast("bigint")))
@@ -120,7 +147,10 @@ def build_tiles(distinct_points: DataFrame, key: str, tile_points: int = TILE_PO
         child = _child(F.col("tile"), *[_index_of(F.col(f"edges_{a}"), F.col(a)) for a in _AXES])
         moved = F.when(F.col("edges_x").isNotNull(), child).otherwise(F.col("tile"))
         points = cut(points.join(level, [key, "tile"], "left").withColumn("tile", moved).drop(*cuts))
-    return Tiling(points, nodes.select(key, "tile", F.col("weight").alias("tile_weight"), *box), levels, inner)
+    tiles = nodes.select(key, "tile", F.col("weight").alias("tile_weight"), *box)
+    # parts of the grid without points are no tiles
+    cells = cut(_cells(nodes, key, levels).join(tiles.select(key, "tile"), [key, "tile"], "left_semi")) if levels else None
+    return Tiling(points, tiles, levels, inner, cells)
 
 
 def _tiles_in_reach(queries: DataFrame, tiling: Tiling, key: str) -> DataFrame:
@@ -184,50 +214,125 @@ def _coordinates(table: pa.Table) -> np.ndarray:
     return np.stack([_numbers(table, c) for c in _AXES], axis=1)
 
 
-def _lists(parts: list[np.ndarray], values: pa.Array | None = None) -> pa.Array:
-    """List column from one array per row."""
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.Array:
+    """List column of ``values`` with as many for each row as its part has."""
     ends = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(p) for p in parts], out=ends[1:])
-    if values is None:
-        values = pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
     return pa.ListArray.from_arrays(pa.array(ends), values)
 
 
-class _Distances:
-    """Squared distances of query blocks to one set of points, in buffers that are used again and stay in cache."""
+class _Tree:
+    """A k-d tree of points: node ``i`` holds ``order[start[i]:end[i]]`` and has the children ``child[i]`` and ``child[i] + 1``, or 0."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, weights: np.ndarray | None = None, leaf: int = LEAF_POINTS):
         self.axes = [np.ascontiguousarray(points[:, i]) for i in range(3)]
-        self.total, self.step = (np.empty((_CHUNK, len(points))) for _ in range(2))
-
-    def __call__(self, queries: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
-        """Valid until the next call; ``among`` restricts the points."""
-        axes = self.axes if among is None else [a[among] for a in self.axes]
-        shape = (len(queries), len(axes[0]))
-        total, step = (b.ravel()[: shape[0] * shape[1]].reshape(shape) for b in (self.total, self.step))
-        np.subtract(queries[:, 0, None], axes[0], out=total)
-        np.multiply(total, total, out=total)
-        for i in (1, 2):
-            np.subtract(queries[:, i, None], axes[i], out=step)
-            np.multiply(step, step, out=step)
-            np.add(total, step, out=total)
-        return total
-
-    def near(self, queries: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Points inside the box around a block of queries and their balls."""
-        keep = np.ones(len(self.axes[0]), dtype=bool)
+        self.measured = 0
+        order, start, end, child, low, high = np.arange(len(points)), [0], [len(points)], [0], [], []
+        node = 0
+        while node < len(start):
+            own = points[order[start[node] : end[node]]]
+            low.append(own.min(axis=0))
+            high.append(own.max(axis=0))
+            if len(own) > leaf:
+                half = len(own) // 2
+                part = np.argpartition(own[:, int(np.argmax(high[-1] - low[-1]))], half)
+                order[start[node] : end[node]] = order[start[node] : end[node]][part]
+                child[node] = len(start)
+                start += [start[node], start[node] + half]
+                end += [start[node] + half, end[node]]
+                child += [0, 0]
+            node += 1
+        self.order, self.start, self.end, self.child = order, np.array(start), np.array(end), np.array(child)
+        self.low, self.high = np.array(low), np.array(high)
+        self.leaves = np.flatnonzero(self.child == 0)
+        if weights is not None:
+            upto = np.concatenate(([0], np.cumsum(weights[order])))
+            self.weight = upto[self.end] - upto[self.start]
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """Points in groups that lie close together."""
+        for leaf in self.leaves:
+            yield self.order[self.start[leaf] : self.end[leaf]]
+
+    def points(self, nodes: np.ndarray) -> np.ndarray:
+        sizes = self.end[nodes] - self.start[nodes]
+        return self.order[np.arange(sizes.sum()) + np.repeat(self.start[nodes] - np.cumsum(sizes) + sizes, sizes)]
+
+    def squared(self, queries: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to the points ``among``."""
+        self.measured += len(queries) * len(among)
+        total = np.zeros((len(queries), len(among)))
         for i, axis in enumerate(self.axes):
-            keep &= (axis >= (queries[:, i] - reach).min()) & (axis <= (queries[:, i] + reach).max())
-        return np.flatnonzero(keep)
+            step = queries[:, i, None] - axis[among]
+            total += np.multiply(step, step, out=step)
+        return total
 
+    def _gaps(self, nodes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least squared distance between boxes of nodes and the box of a block."""
+        gap = np.maximum(np.maximum(self.low[nodes] - high, low - self.high[nodes]), 0.0)
+        gap *= gap
+        return gap[:, 0] + gap[:, 1] + gap[:, 2]
+
+    def _from_each(self, nodes: np.ndarray, queries: np.ndarray, farthest: bool = False) -> np.ndarray:
+        """Least or largest squared distance of each query to the box of each node."""
+        total = np.zeros((len(queries), len(nodes)))
+        for i in range(3):
+            at, low, high = queries[:, i, None], self.low[nodes, i], self.high[nodes, i]
+            step = np.maximum(np.abs(high - at), np.abs(at - low)) if farthest else np.maximum(np.maximum(low - at, at - high), 0.0)
+            total += np.multiply(step, step, out=step)
+        return total
 
-def _blocks(queries: np.ndarray) -> Iterator[np.ndarray]:
-    """Query numbers in blocks that lie close together."""
-    low, extent = queries.min(axis=0), np.ptp(queries, axis=0)
-    cell = np.floor((queries - low) / np.where(extent > 0, extent, 1.0) * 3.999).astype(int)
-    order = np.lexsort((queries[:, 2], cell[:, 1], cell[:, 0]))
-    for start in range(0, len(order), _CHUNK):
-        yield order[start: start + _CHUNK]
+    def candidates(
+        self, queries: np.ndarray, k: int, reach: np.ndarray | None = None
+    ) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Points among which every query finds its ``k`` nearest, as far as they lie within ``reach``, and their squared
+        distances, both in pieces; and the ``k`` least distances of each query in any order."""
+        gaps = self._gaps(self.leaves, queries.min(axis=0), queries.max(axis=0))
+        limit = np.full(len(queries), np.inf) if reach is None else reach * reach * (_SLACK * _SLACK)
+        order = np.argsort(gaps, kind="stable")
+        gaps, nodes = gaps[order], self.leaves[order]
+        read, ahead = 0, int(np.searchsorted(np.cumsum((self.end - self.start)[nodes]), 2 * k)) + 1
+        found, parts, nearest = [], [], np.empty((len(queries), 0))
+        while True:  # nearest leaves first, until none is nearer than the k-th distance so far
+            stop = min(int(np.searchsorted(gaps, limit.max(), side="right")), ahead)
+            if stop <= read:
+                break
+            near = nodes[read:stop]
+            near = near[(self._from_each(near, queries) <= limit[:, None]).any(axis=0)]
+            read, ahead = stop, 4 * stop
+            if not near.size:
+                continue
+            found.append(self.points(near))
+            parts.append(self.squared(queries, found[-1]))
+            nearest = np.concatenate((nearest, parts[-1]), axis=1)
+            if nearest.shape[1] >= k:
+                nearest = np.partition(nearest, k - 1, axis=1)[:, :k]
+                limit = np.minimum(limit, nearest[:, k - 1])
+        return found, parts, nearest
+
+    def count(self, queries: np.ndarray, limit: float, weights: np.ndarray) -> np.ndarray:
+        """Weight within the squared distance ``limit`` of each query."""
+        low, high = queries.min(axis=0), queries.max(axis=0)
+        found, nodes = np.zeros(len(queries), dtype=np.int64), np.zeros(1, dtype=np.int64)
+        while nodes.size:
+            reach = np.maximum(np.abs(self.high[nodes] - low), np.abs(high - self.low[nodes]))
+            reach *= reach
+            whole = reach[:, 0] + reach[:, 1] + reach[:, 2] <= limit
+            found += int(self.weight[nodes[whole]].sum())
+            nodes = nodes[~whole & (self._gaps(nodes, low, high) <= limit)]
+            leaf = self.child[nodes] == 0
+            if leaf.any():
+                ends = nodes[leaf]
+                inside = self._from_each(ends, queries, farthest=True) <= limit
+                found += inside @ self.weight[ends]
+                cut_by = (self._from_each(ends, queries) <= limit) & ~inside
+                some = cut_by.any(axis=0)
+                among, sizes = self.points(ends[some]), (self.end - self.start)[ends[some]]
+                counts = (self.squared(queries, among) <= limit) & np.repeat(cut_by[:, some], sizes, axis=1)
+                found += counts @ weights[among]
+            nodes = np.repeat(self.child[nodes[~leaf]], 2)
+            nodes[1::2] += 1
+        return found
 
 
 def _repeat_by_weight(distances: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -239,37 +344,61 @@ def _repeat_by_weight(distances: np.ndarray, weights: np.ndarray, k: int) -> np.
     return np.take_along_axis(padded, at, axis=1)
 
 
-def _distance_rows(queries: pa.Table, points: pa.Table, k: int, reach: np.ndarray | None) -> list[np.ndarray]:
-    """Per query the sorted distances to its ``k`` nearest points, those beyond ``reach`` left out."""
-    at, measured = _coordinates(queries), _Distances(_coordinates(points))
+def _distance_rows(queries: pa.Table, points: pa.Table, k: int, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Per query the sorted distances to its ``k`` nearest points in a row, and how many there are within ``reach``."""
+    at, tree = _coordinates(queries), _Tree(_coordinates(points))
     weights = _numbers(points, "weight")
     plain = bool((weights == 1).all())
-    rows: list[np.ndarray] = [np.empty(0)] * len(at)
-    for block in _blocks(at):
-        among = None if reach is None else measured.near(at[block], reach[block])
-        squared = measured(at[block], among)
-        keep = min(k, squared.shape[1])
-        if keep == 0:
+    rows, ends = np.full((len(at), k), np.nan), np.zeros(len(at), dtype=np.int64)
+    for block in (tree if queries is points else _Tree(at)).blocks():
+        found, parts, nearest = tree.candidates(at[block], k, None if reach is None else reach[block])
+        if not found:
             continue
         if plain:
-            if keep < squared.shape[1]:
-                squared.partition(keep - 1, axis=1)
-            distances = np.sqrt(np.sort(squared[:, :keep], axis=1))
+            distances = np.sqrt(np.sort(nearest, axis=1))[:, :k]
         else:
+            squared, own = np.concatenate(parts, axis=1), weights[np.concatenate(found)]
+            keep = min(k, squared.shape[1])
             index = np.argpartition(squared, keep - 1, axis=1)[:, :keep]
             best = np.take_along_axis(squared, index, axis=1)
             order = np.argsort(best, axis=1, kind="stable")
             index = np.take_along_axis(index, order, axis=1)
-            own = weights if among is None else weights[among]
             distances = _repeat_by_weight(np.sqrt(np.take_along_axis(best, order, axis=1)), own[index], k)
-        if reach is None:
-            ends = np.isfinite(distances).sum(axis=1)
-        else:
-            with np.errstate(invalid="ignore"):
-                ends = (distances <= reach[block, None]).sum(axis=1)
-        for row, line, end in zip(block, distances, ends):
-            rows[row] = line[:end]
-    return rows
+        rows[block, : distances.shape[1]] = distances
+        with np.errstate(invalid="ignore"):
+            ends[block] = (distances <= (np.inf if reach is None else reach[block, None])).sum(axis=1)
+    return rows, ends
+
+
+def _leading(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """List column of the first ``ends`` values of each row."""
+    offsets = np.concatenate(([0], np.cumsum(ends))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[np.arange(rows.shape[1]) < ends[:, None]]))
+
+
+def _leaves_cell(tile: pa.Table, cell: pa.Table, reach: np.ndarray) -> pa.Array:
+    """Whether the ball of each point may hold points of other tiles."""
+    out = np.zeros(tile.num_rows, dtype=bool)
+    for a in _AXES:
+        at = _numbers(tile, a)
+        out |= (at - _numbers(cell, f"lo_{a}")[0] < reach) | (_numbers(cell, f"hi_{a}")[0] - at <= reach)
+    return pa.array(out)
+
+
+def _own_tiles(tiling: Tiling, key: str, found: Callable[[pa.Table], tuple[pa.Array, np.ndarray]], column: str, schema: str) -> DataFrame:
+    """Every point with what its own tile gives as ``column``, and ``open``: whether its ball leaves the tile's cell.
+
+    ``found`` gives the column and the radius of each ball.
+    """
+    names = [f for f in (key, "tile", *_AXES, "weight") if f in tiling.points.columns]
+
+    def inside(tile: pa.Table, cell: pa.Table) -> pa.Table:
+        values, reach = found(tile)
+        return tile.select(names).append_column(column, values).append_column("open", _leaves_cell(tile, cell, reach))
+
+    points = spread(tiling.points, key, "tile").groupBy(key, "tile")
+    cells = spread(tiling.cells, key, "tile").groupBy(key, "tile")
+    return cut(points.cogroup(cells).applyInArrow(inside, f"{schema}, open boolean"))
 
 
 def _merge_equal(points: DataFrame, key: str) -> DataFrame:
@@ -320,15 +449,20 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
     own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, distances array<double>"
 
     def inside(tile: pa.Table) -> pa.Table:
-        found = _lists(_distance_rows(tile, tile, k, None))
+        found = _leading(*_distance_rows(tile, tile, k, None))
         return tile.select([key, "tile", *_AXES, "weight"]).append_column("distances", found)
 
-    own = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
     if not tiling.levels:
-        return own.drop("tile")
-    own = cut(own)
+        return spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema).drop("tile")
+
+    def found(tile: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        rows, ends = _distance_rows(tile, tile, k, None)
+        return _leading(rows, ends), np.where(ends >= k, rows[:, k - 1] * _SLACK, np.inf)
+
+    own = _own_tiles(tiling, key, found, "distances", own_schema)
     kth = F.try_element_at("distances", F.lit(k))
-    queries = _bounded(own, k, key, tiling, F.size("distances"), kth).select(
+    beyond = own.filter("open")
+    queries = _bounded(beyond, k, key, tiling, F.size("distances"), kth).select(
         key, *_AXES, "reach", F.col("tile").alias("home")
     )
     visits = cut(_tiles_in_reach(queries, tiling, key).select(key, *_AXES, "reach", "tile"))
@@ -337,7 +471,9 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
     cross_schema = f"{key} {key_type}, x double, y double, z double, distances array<double>"
 
     def across(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _lists(_distance_rows(left, right, k, _numbers(left, "reach")) if left.num_rows else [])
+        if not left.num_rows or not right.num_rows:
+            return left.select([key, *_AXES]).append_column("distances", pa.array([[]] * left.num_rows, pa.list_(pa.float64()))).slice(0, 0)
+        found = _leading(*_distance_rows(left, right, k, _numbers(left, "reach")))
         table = left.select([key, *_AXES]).append_column("distances", found)
         return table.filter(pa.compute.greater(pa.compute.list_value_length(found), 0))
 
@@ -345,9 +481,11 @@ def nearest_distances(points: DataFrame, k: int, key: str = "cloud_id", tile_poi
         spread(asked, *visit).groupBy(*visit).cogroup(spread(copies, *visit).groupBy(*visit))
         .applyInArrow(across, cross_schema)
     )
-    merged = own.select(key, *_AXES, "weight", "distances").unionByName(cross, allowMissingColumns=True)
+    columns = (key, *_AXES, "weight", "distances")
+    merged = beyond.select(*columns).unionByName(cross, allowMissingColumns=True)
     all_found = F.array_sort(F.flatten(F.collect_list("distances")))
-    return merged.groupBy(key, *_AXES).agg(F.max("weight").alias("weight"), F.slice(all_found, 1, k).alias("distances"))
+    merged = merged.groupBy(key, *_AXES).agg(F.max("weight").alias("weight"), F.slice(all_found, 1, k).alias("distances"))
+    return own.filter("NOT open").select(*columns).unionByName(merged)
 
 
 def radius_counts(
@@ -370,23 +508,25 @@ def radius_counts(
     def weights_in_reach(queries: pa.Table, targets: pa.Table) -> pa.Array:
         if not queries.num_rows:
             return pa.array([], pa.int64())
-        at, weights, measured = _coordinates(queries), _numbers(targets, "weight"), _Distances(_coordinates(targets))
-        found = np.zeros(len(at), dtype=np.int64)
-        for block in _blocks(at):
-            among = measured.near(at[block], np.full(len(block), radius * _SLACK))
-            found[block] = (measured(at[block], among) <= limit) @ weights[among]
+        at, weights = _coordinates(queries), _numbers(targets, "weight")
+        tree, found = _Tree(_coordinates(targets), weights), np.zeros(len(at), dtype=np.int64)
+        for block in (tree if queries is targets else _Tree(at)).blocks():
+            found[block] = tree.count(at[block], limit, weights)
         return pa.array(found)
 
     def inside(tile: pa.Table) -> pa.Table:
         return tile.select([key, "tile", *_AXES, "weight"]).append_column("neighbors", weights_in_reach(tile, tile))
 
     own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, neighbors bigint"
-    own = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema)
     if not tiling.levels:
-        return own.drop("tile")
-    own = cut(own)
-    open_points = own if enough is None else own.filter(F.col("neighbors") <= enough)
-    queries = open_points.select(key, *_AXES, F.lit(radius).alias("reach"), F.col("tile").alias("home"))
+        return spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema).drop("tile")
+
+    def found(tile: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        return weights_in_reach(tile, tile), np.full(tile.num_rows, radius * _SLACK)
+
+    own = _own_tiles(tiling, key, found, "neighbors", own_schema)
+    more = F.lit(True) if enough is None else F.col("neighbors") <= enough
+    queries = own.filter(F.col("open") & more).select(key, *_AXES, F.lit(radius).alias("reach"), F.col("tile").alias("home"))
     visits = cut(_tiles_in_reach(queries, tiling, key).select(key, *_AXES, "tile", "tile_weight", "covered"))
     visit = (key, "tile", "salt")
     asked, copies = _salted(visits.filter("not covered"), tiling.points, key)
@@ -399,8 +539,10 @@ def radius_counts(
         .applyInArrow(across, f"{key} {key_type}, x double, y double, z double, neighbors bigint")
     )
     covered = visits.filter("covered").select(key, *_AXES, F.col("tile_weight").alias("neighbors"))
-    merged = own.drop("tile").unionByName(cross, True).unionByName(covered, True)
-    return merged.groupBy(key, *_AXES).agg(F.max("weight").alias("weight"), F.sum("neighbors").alias("neighbors"))
+    columns = (key, *_AXES, "weight", "neighbors")
+    merged = own.filter(F.col("open") & more).select(*columns).unionByName(cross, True).unionByName(covered, True)
+    merged = merged.groupBy(key, *_AXES).agg(F.max("weight").alias("weight"), F.sum("neighbors").alias("neighbors"))
+    return own.filter(~(F.col("open") & more)).select(*columns).unionByName(merged)
 
 
 def nearest_neighbors(
@@ -430,36 +572,49 @@ def nearest_neighbors(
             return pa.array([], pa.list_(hit_type))
         groups = targets["ids"].combine_chunks()
         flat = groups.flatten().to_numpy()
-        place = np.repeat(np.arange(targets.num_rows), pa.compute.list_value_length(groups).to_numpy())
-        at, measured = _coordinates(queries), _Distances(_coordinates(targets))
-        distances, ids = [], []
-        for start in range(0, len(at), _CHUNK):
+        sizes = pa.compute.list_value_length(groups).to_numpy()
+        first = np.cumsum(sizes) - sizes
+        at, tree = _coordinates(queries), _Tree(_coordinates(targets))
+        distances, ids = [np.empty(0)] * len(at), [flat[:0]] * len(at)
+        for block in (tree if queries is targets else _Tree(at)).blocks():
+            found, parts, _ = tree.candidates(at[block], k + 1, None if reach is None else reach[block])
+            if not found:
+                continue
+            among = np.concatenate(found)
+            copies = sizes[among]
+            place = np.repeat(np.arange(len(among)), copies)
+            names = flat[np.arange(copies.sum()) + np.repeat(first[among] - np.cumsum(copies) + copies, copies)]
             # ties between places are settled by id
-            block = np.sqrt(measured(at[start: start + _CHUNK]))[:, place]
-            for offset, line in enumerate(block):
+            for row, line in zip(block, np.sqrt(np.concatenate(parts, axis=1))[:, place]):
                 bound = np.partition(line, k)[k] if len(line) > k + 1 else np.inf
                 if reach is not None:
-                    bound = min(bound, reach[start + offset])
+                    bound = min(bound, reach[row])
                 near = np.flatnonzero(line <= bound)
-                near = near[np.lexsort((flat[near], line[near]))][: k + 1]
-                distances.append(line[near])
-                ids.append(flat[near])
+                near = near[np.lexsort((names[near], line[near]))][: k + 1]
+                distances[row] = line[near]
+                ids[row] = names[near]
         values = pa.StructArray.from_arrays(
             [pa.array(np.concatenate(distances)), pa.array(np.concatenate(ids), hit_type["id"].type)], fields=list(hit_type)
         )
         return _lists(distances, values)
 
     def inside(tile: pa.Table) -> pa.Table:
-        return tile.select([key, "tile", *_AXES]).append_column("hits", hits(tile, tile, None))
+        return tile.select([key, "tile", *_AXES, "weight"]).append_column("hits", hits(tile, tile, None))
 
-    own = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(
-        inside, f"{key} {key_type}, tile bigint, x double, y double, z double, hits {hit}"
-    )
-    merged = own.drop("tile")
-    if tiling.levels:
-        own = cut(own)
+    own_schema = f"{key} {key_type}, tile bigint, x double, y double, z double, weight bigint, hits {hit}"
+    if not tiling.levels:
+        merged = spread(tiling.points, key, "tile").groupBy(key, "tile").applyInArrow(inside, own_schema).drop("tile", "weight")
+    else:
+        def found(tile: pa.Table) -> tuple[pa.Array, np.ndarray]:
+            lists = hits(tile, tile, None)
+            ends, size = lists.offsets.to_numpy()[1:], pa.compute.list_value_length(lists).to_numpy()
+            last = lists.values.field("distance").to_numpy()[np.maximum(ends - 1, 0)]
+            return lists, np.where(size > k, last * _SLACK, np.inf)
+
+        own = _own_tiles(tiling, key, found, "hits", own_schema)
         kth = F.try_element_at("hits", F.lit(k + 1))["distance"]
-        queries = _bounded(own, k + 1, key, tiling, F.size("hits"), kth).select(
+        beyond = own.filter("open")
+        queries = _bounded(beyond, k + 1, key, tiling, F.size("hits"), kth).select(
             key, *_AXES, "reach", F.col("tile").alias("home")
         )
         visits = cut(_tiles_in_reach(queries, tiling, key).select(key, *_AXES, "reach", "tile"))
@@ -474,10 +629,11 @@ def nearest_neighbors(
             spread(asked, *visit).groupBy(*visit).cogroup(spread(copies, *visit).groupBy(*visit))
             .applyInArrow(across, f"{key} {key_type}, x double, y double, z double, hits {hit}")
         )
-        merged = own.drop("tile").unionByName(cross)
-        merged = merged.groupBy(key, *_AXES).agg(
+        columns = (key, *_AXES, "hits")
+        merged = beyond.select(*columns).unionByName(cross).groupBy(key, *_AXES).agg(
             F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits")
         )
+        merged = own.filter("NOT open").select(*columns).unionByName(merged)
     others = F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k)
     return (
         finite.join(merged, [key, *_AXES])

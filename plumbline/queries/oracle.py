@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from plumbline.functions import utm
-from plumbline.operators.pairs import BANDS, BITS
 from plumbline.params import CAMERA_MODELS, DYNAMIC_CLASSES, SPLAT_ATTRIBUTES
 from plumbline.queries.views import duckdb_views as using
 
@@ -510,17 +509,9 @@ ORACLE["pairs_exhaustive"] = f"""
 WITH {using('v_frames')}, p AS (SELECT video_id, source_idx, row_number() OVER (PARTITION BY video_id ORDER BY name) AS pos,
   count(*) OVER (PARTITION BY video_id) AS n FROM v_frames)
 SELECT video_id, source_idx AS first_id, pos, pos + 1 AS partner_from, n AS partner_to, n - pos AS partners FROM p"""
-# images are candidates if all signs of a band agree; the same fixed directions, in SQL
-_BIT = f"CAST(b*{BITS} + j AS BIGINT)"
-ORACLE["pairs_similar"] = f"""
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
-           list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS w FROM embeddings),
-codes AS (SELECT vec_id, v, b, sum(CASE WHEN list_sum(list_transform(range(1, len(w) + 1), lambda i:
-            CASE WHEN (i*73 + {_BIT}*131 + i*{_BIT}*17) % 64 >= 32 THEN w[i] ELSE -w[i] END)) > 0 THEN 1 << j ELSE 0 END) AS code
-          FROM e, (SELECT unnest(range(0, {BANDS})) AS b), (SELECT CAST(unnest(range(0, {BITS})) AS INTEGER) AS j) GROUP BY vec_id, v, b),
-near AS (SELECT DISTINCT x.vec_id, y.vec_id AS similar_id FROM codes x JOIN codes y ON x.b = y.b AND x.code = y.code AND x.vec_id <> y.vec_id),
-c AS (SELECT near.vec_id, similar_id, list_cosine_similarity(p.v, q.v) AS cosine
-      FROM near JOIN e p ON p.vec_id = near.vec_id JOIN e q ON q.vec_id = similar_id)
+ORACLE["pairs_similar"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT p.vec_id, q.vec_id AS similar_id, list_cosine_similarity(p.v, q.v) AS cosine FROM e p JOIN e q ON p.vec_id <> q.vec_id)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, similar_id) AS rank, similar_id, round(cosine, 4) AS cosine FROM c
 QUALIFY rank <= 5"""
 

@@ -53,6 +53,39 @@ def test_neighbour_ids(spark):
     assert (ids == want).all()
 
 
+def _tree(p):
+    weights = np.arange(len(p)) % 3 + 1
+    return neighbors._Tree(np.asarray(p, float), weights), weights
+
+
+def test_tree_search_measures_few_distances():
+    """The k nearest of every point, ties and heaps included, from a small share of all distances."""
+    p = np.concatenate([mixed(), np.random.default_rng(2).normal(0, 3, (8000, 3))])
+    tree, _ = _tree(p)
+    for block in tree.blocks():
+        found, parts, nearest = tree.candidates(p[block], 20)
+        d = ((p[block][:, None] - p[None]) ** 2)
+        want = np.sort(d[..., 0] + d[..., 1] + d[..., 2], axis=1)[:, :20]
+        assert (np.sort(nearest, axis=1) == want).all()
+        read = np.concatenate(found)
+        assert len(np.unique(read)) == len(read) and (np.sort(np.concatenate(parts, axis=1), axis=1)[:, :20] == want).all()
+    assert tree.measured < 0.15 * len(p) ** 2
+    near, _, _ = tree.candidates(p[:1], 20, np.array([0.0]))
+    assert not near or len(np.concatenate(near)) <= 2 * neighbors.LEAF_POINTS + 1000
+
+
+@pytest.mark.parametrize("radius, most", [(0.5, 0.1), (5.0, 0.65), (200.0, 0.0001)])
+def test_tree_counts_add_whole_nodes(radius, most):
+    """A ball about as large as the cloud is counted from few nodes' weights; points are compared at its surface only."""
+    p = np.random.default_rng(3).normal(0, 3, (9000, 3))
+    tree, weights = _tree(p)
+    for block in tree.blocks():
+        d = ((p[block][:, None] - p[None]) ** 2)
+        want = (d[..., 0] + d[..., 1] + d[..., 2] <= radius * radius) @ weights
+        assert (tree.count(p[block], radius * radius, weights) == want).all()
+    assert tree.measured < most * len(p) ** 2
+
+
 def test_small_cloud_has_fewer_neighbours(spark):
     got = neighbors.nearest_distances(cloud(spark, [[0, 0, 0], [1, 0, 0]]), 5).collect()
     assert all(list(r["distances"]) == [0.0, 1.0] for r in got)

@@ -157,27 +157,6 @@ def test_pairs(spark):
     assert ranges == 10
 
 
-@pytest.mark.parametrize("bits", [2, 6])
-def test_similar_pairs_by_one_rule(spark, bits):
-    rng = np.random.default_rng(2)
-    v = rng.normal(size=(30, 16))[rng.integers(0, 30, 600)] * 2 + rng.normal(size=(600, 16))
-    v[200:300] = v[0]
-    df = spark.createDataFrame([("c", i, x.tolist()) for i, x in enumerate(v)], "c string, id bigint, v array<double>")
-    whole = np.floor(v * 1024).astype(int)
-    signs = (whole @ pairs.directions(8, bits, 16).T > 0).reshape(600, 8, bits) @ (1 << np.arange(bits))
-    candidate = (signs[:, None, :] == signs[None, :, :]).any(axis=2)
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    cosine = np.where(candidate, unit @ unit.T, -2.0)
-    np.fill_diagonal(cosine, -2)
-    want = -np.sort(-cosine, axis=1)[:, :3]
-    results = []
-    for block in (20, 5000):
-        got = pairs.similar_pairs(df, 3, "c", "id", "v", bands=8, bits=bits, block=block).toPandas().sort_values(["id", "rank"])
-        assert len(got) == (want > -2).sum() and np.allclose(got.cosine.to_numpy(), want[want > -2])
-        results.append(got[["id", "rank", "similar_id"]].to_numpy())
-    assert (results[0] == results[1]).all()
-
-
 @pytest.mark.parametrize("block", [90, 5000])
 def test_exact_similar_pairs(spark, block):
     rng = np.random.default_rng(3)
