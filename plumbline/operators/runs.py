@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import with_next
+from plumbline.operators.ordering import measured, with_next, with_position
 
 FAILURES = ("FAILED", "FAIL")
 WARNINGS = ("WARNING", "COMPLETE_WITH_WARNINGS")
@@ -47,11 +47,26 @@ def stage_durations(
     return stepped.withColumn("duration_s", F.col("next_ts_s") - F.col("ts_s")).drop("next_ts_s")
 
 
-def paired_stages(events: DataFrame, key: str = "run_id", order: Sequence[str] = ("ts_s", "seq")) -> DataFrame:
-    """Stage starts with the end that follows; a stage without an end is RUNNING. Events carry ``phase`` START or END."""
-    stepped = with_next(events, [key], [F.col(c) for c in order], ["ts_s", "state", "status", "phase"])
-    closed = (F.col("next_phase") == "END") & (F.col("next_state") == F.col("state"))
-    done = F.coalesce(closed, F.lit(False))
+def paired_stages(
+    events: DataFrame, key: str = "run_id", order: Sequence[str] = ("ts_s", "seq"), hot_rows: float | None = None
+) -> DataFrame:
+    """Stage starts with their ends; a stage without an end is RUNNING. Events carry ``phase`` START or END.
+
+    Stages may overlap, and a stage may start again inside itself: like brackets, an end closes the latest start of its
+    stage that is still open. The depth of an event (starts less ends of its stage before it) follows from its ranks among
+    all events and among those of its phase, and a start's end is the next event of its depth. Ends without a start close
+    nothing; events of other phases are ignored.
+    """
+    known = events.filter(F.col("phase").isin("START", "END"))
+    hot = measured(known, [key]) if hot_rows is None else hot_rows
+    columns = [F.col(c) for c in order]
+    ranked = with_position(known, [key], columns, "pos", hot)
+    ranked = with_position(ranked, [key, "state"], columns, "_all", hot)
+    ranked = with_position(ranked, [key, "state", "phase"], columns, "_same", hot)
+    depth = F.when(F.col("phase") == "START", 2 * F.col("_same") - 1 - F.col("_all")).otherwise(F.col("_all") - 2 * F.col("_same"))
+    leveled = ranked.withColumn("_depth", depth)
+    stepped = with_next(leveled, [key, "state", "_depth"], columns, ["ts_s", "status", "phase"], "_at", hot)
+    done = F.coalesce(F.col("next_phase") == "END", F.lit(False))
     return stepped.filter("phase = 'START'").select(
         key, "pos", "state", F.col("ts_s").alias("started_at"),
         F.when(done, F.col("next_ts_s")).alias("completed_at"),

@@ -487,6 +487,15 @@ ORACLE["run_durations"] = f"""
 WITH {using('v_run_events')}
 SELECT run_id, seq, row_number() OVER w AS pos, state, round(lead(ts_s) OVER w - ts_s, 4) AS duration_s FROM v_run_events
 WINDOW w AS (PARTITION BY run_id ORDER BY ts_s, seq)"""
+# the first end behind a start at which as many are open as before the start
+ORACLE["run_pairs"] = f"""
+WITH {using('v_run_events')},
+e AS (SELECT *, seq % 5 < 3 AS starts, row_number() OVER (PARTITION BY run_id ORDER BY ts_s, seq) AS pos FROM v_run_events),
+d AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE -1 END) OVER (PARTITION BY run_id, state ORDER BY pos) AS depth FROM e),
+p AS (SELECT s.run_id, s.pos, s.state, s.ts_s AS started_at, x.ts_s AS completed_at, coalesce(x.status, 'RUNNING') AS status
+      FROM d s LEFT JOIN d x ON s.run_id = x.run_id AND s.state = x.state AND NOT x.starts AND x.pos > s.pos AND x.depth = s.depth - 1
+      WHERE s.starts QUALIFY row_number() OVER (PARTITION BY s.run_id, s.pos ORDER BY x.pos) = 1)
+SELECT run_id, pos, state, round(started_at, 4) AS started_at, round(completed_at, 4) AS completed_at, status FROM p"""
 ORACLE["report_status"] = f"""
 WITH {using('v_run_events')}
 SELECT run_id, CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' WHEN bool_or(status = 'WARNING') THEN 'COMPLETE_WITH_WARNINGS' ELSE 'COMPLETE' END AS report_status

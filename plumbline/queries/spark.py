@@ -509,6 +509,12 @@ def run_durations(spark, sf_dir):
     )
 
 
+@query
+def run_pairs(spark, sf_dir):
+    events = view(spark, sf_dir, "v_run_events").withColumn("phase", F.when(F.col("seq") % 5 < 3, "START").otherwise("END"))
+    return runs.paired_stages(events).select("run_id", "pos", "state", *r4("started_at", "completed_at"), "status")
+
+
 @query
 def report_status(spark, sf_dir):
     return runs.report_status(view(spark, sf_dir, "v_run_events"))

@@ -239,6 +239,11 @@ def test_run_states(spark):
     assert status("WARNING", "SUCCESS")["run_status"] == "WARNING" and status("WARNING", "FAILED", "SUCCESS")["run_status"] == "PASS"
     pairs_ = runs.paired_stages(log(("A", "START", "RUNNING"), ("A", "END", "SUCCESS"), ("B", "START", "RUNNING"), ("B", "END", "FAILED"), ("C", "START", "RUNNING")))
     assert [(r["state"], r["status"], r["completed_at"]) for r in pairs_.orderBy("pos").collect()] == [("A", "SUCCESS", 1.0), ("B", "FAILED", 3.0), ("C", "RUNNING", None)]
+    nested = log(*[(s, p, f"S{i}") for i, (s, p) in enumerate((
+        ("A", "END"), ("A", "START"), ("B", "START"), ("A", "START"), ("A", "END"), ("B", "END"), ("A", "END"), ("A", "START"), ("C", "NOTE"), ("B", "START")))])
+    for hot_rows in (None, 0):
+        found = [(r["state"], r["started_at"], r["completed_at"], r["status"]) for r in runs.paired_stages(nested, hot_rows=hot_rows).orderBy("pos").collect()]
+        assert found == [("A", 1.0, 6.0, "S6"), ("B", 2.0, 5.0, "S5"), ("A", 3.0, 4.0, "S4"), ("A", 7.0, None, "RUNNING"), ("B", 9.0, None, "RUNNING")]
     metrics = spark.createDataFrame([("r", "cloud", "points", 3), ("r", "frames", "kept", 2)], "run_id string, stage string, metric string, value bigint")
     assert set(runs.run_report(metrics).first()["sections"]) == {"cloud", "frames"}
 
