@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
@@ -20,6 +20,11 @@ def _json(spark: SparkSession, schema: str, paths: Paths) -> DataFrame:
     return reader.json(paths if isinstance(paths, str) else list(paths)).withColumn("file", F.col("_metadata.file_path"))
 
 
+def _unreadable() -> Column:
+    """The reason why a document can't be read, with its file."""
+    return F.when(F.col("_corrupt_record").isNotNull(), F.concat(F.lit("not a JSON document of this kind: "), F.col("file")))
+
+
 def read_poses(spark: SparkSession, paths: Paths) -> DataFrame:
     """Camera poses from lists of pose records; the flight is the folder of the file below the given path.
 
@@ -50,26 +55,34 @@ def flights_without_poses(expected: DataFrame, poses: DataFrame) -> DataFrame:
 
 
 def read_frame_logs(spark: SparkSession, paths: Paths) -> DataFrame:
-    """One row per logged frame with the totals of its log; the video is the folder below the given path."""
-    logs = _json(spark, schemas.FRAME_LOG_JSON, paths).filter("_corrupt_record IS NULL")
-    return logs.select(
+    """One row per logged frame with the totals of its log; the video is the folder below the given path.
+
+    ``log_error`` names the file of a document that is no log, in a row without frame.
+    """
+    return _json(spark, schemas.FRAME_LOG_JSON, paths).select(
         folder_key(F.col("file"), paths).alias("video_id"), "source_video", "original_fps", "total_frames",
-        "duration_seconds", "selected_frames", "blur_threshold_used", F.explode_outer("frames").alias("_f"),
+        "duration_seconds", "selected_frames", "blur_threshold_used", F.explode_outer("frames").alias("_f"), _unreadable().alias("log_error"),
     ).select("*", "_f.*").drop("_f")
 
 
 def read_detections(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Detections of per-frame documents (``frame_stem``, ``detections``) or tracking logs (``frame``, ``objects``)."""
-    item = "array<struct<class:string,confidence:double,bbox:array<double>,object_id:bigint>>"
-    rows = _json(spark, f"frame_stem string, frame string, detections {item}, objects {item}", paths)
-    listed = rows.filter("_corrupt_record IS NULL").select(
+    """Detections of per-frame documents (``frame_stem``, ``detections``) or tracking logs (``frame``, ``objects``).
+
+    ``detection_error`` names the file of a document that can't be read, in a row without class or box.
+    """
+    item = "struct<class:string,confidence:double,bbox:array<double>,object_id:bigint>"
+    rows = _json(spark, f"frame_stem string, frame string, detections array<{item}>, objects array<{item}>", paths)
+    nothing = F.array(F.lit(None).cast(item))
+    listed = rows.select(
         folder_key(F.col("file"), paths).alias("video_id"), F.coalesce("frame_stem", "frame", file_stem(F.col("file"))).alias("frame_id"),
-        F.posexplode(F.coalesce("detections", "objects")).alias("det_no", "_d"),
+        _unreadable().alias("detection_error"),
+        F.posexplode(F.when(F.col("_corrupt_record").isNotNull(), nothing).otherwise(F.coalesce("detections", "objects"))).alias("det_no", "_d"),
     )
     corner = lambda i: F.try_element_at("_d.bbox", F.lit(i))
     return listed.select(
-        "video_id", "frame_id", "det_no", F.col("_d.class").alias("class"), F.coalesce("_d.confidence", F.lit(1.0)).alias("confidence"),
-        *[corner(i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.col("_d.object_id").alias("object_id"),
+        "video_id", "frame_id", "det_no", F.col("_d.class").alias("class"),
+        F.when(F.col("detection_error").isNull(), F.coalesce("_d.confidence", F.lit(1.0))).alias("confidence"),
+        *[corner(i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.col("_d.object_id").alias("object_id"), "detection_error",
     )
 
 

@@ -74,6 +74,13 @@ def test_pose_detection_log_alignment_documents(spark, tmp_path):
     log = docs.read_frame_logs(spark, str(tmp_path / "l")).first()
     assert (log["video_id"], log["filename"], log["total_frames"], log["laplacian_variance"]) == ("v", "000000.jpg", 359, 366.45)
 
+    for folder in ("d", "l"):
+        put(tmp_path / folder / "broken/metadata.json", '{"frames": [{')
+    bad = docs.read_detections(spark, str(tmp_path / "d")).filter("detection_error IS NOT NULL").collect()
+    assert [(r["video_id"], r["class"], r["x1"], r["confidence"]) for r in bad] == [("broken", None, None, None)] and "broken/metadata.json" in bad[0]["detection_error"]
+    bad = docs.read_frame_logs(spark, str(tmp_path / "l")).filter("log_error IS NOT NULL").collect()
+    assert [(r["video_id"], r["filename"]) for r in bad] == [("broken", None)] and "broken/metadata.json" in bad[0]["log_error"]
+
     good = {"alignment": {"scale": 2.0, "rotation_matrix": np.eye(3).tolist(), "translation_vector": [1, 2, 3]}, "target_crs": "EPSG:32643"}
     put(tmp_path / "a/one/metadata.json", json.dumps(good))
     put(tmp_path / "a/two/metadata.json", json.dumps({**good, "alignment": {**good["alignment"], "scale": -1}}))
