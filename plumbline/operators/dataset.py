@@ -133,6 +133,7 @@ def normalization_record(
     normalization: DataFrame, matched: DataFrame, target_radius: float = 1.0, crs: Column | None = None, key: str = "scene_id"
 ) -> DataFrame:
     """Document with offset, scale, formulas, provenance and counts per scene."""
+    # The keys below are the layout of the training set's normalization file.
     counts = matched.groupBy(key).agg(
         F.count_if(F.col("match_status") == "matched").alias("total_images_processed"),
         F.count_if(F.col("match_status") == "unreadable").alias("unreadable_images_count"),
@@ -148,8 +149,8 @@ def normalization_record(
         F.struct(
             F.array(*[F.bround(c, 6) for c in ("ox", "oy", "oz")]).alias("center_offset"),
             F.bround("norm_scale", 8).alias("scale_factor"), F.lit(target_radius).alias("target_radius"),
-            F.lit("X_norm = scale_factor * (X_source - center_offset)").alias("formula"),
-            F.lit("X_source = (X_norm / scale_factor) + center_offset").alias("inverse_formula"),
+            F.lit("normalized = (source - center_offset) * scale_factor").alias("formula"),
+            F.lit("source = center_offset + normalized / scale_factor").alias("inverse_formula"),
         ).alias("normalization"),
         F.struct("total_images_processed", "unreadable_images_count", "missing_pose_images_count").alias("summary"),
     ).alias("record"))
