@@ -1,22 +1,18 @@
-"""Least-squares similarity (scale, rotation, translation) between matched point sets (Umeyama 1991)."""
+"""Least-squares similarity (scale, rotation, translation) between matched point sets, in closed form (Horn 1987)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import eigen
 from plumbline.functions import rotation as R
 
 HIGH_RMSE = 5.0
 _SRC = ("x", "y", "z")
 _DST = ("gx", "gy", "gz")
-_COEFFICIENTS = [f"c_{a}{b}" for a in ("s", "d") for b in ("xx", "xy", "xz", "yy", "yz", "zz")]
-_CROSS = [f"x_{i}{j}" for i, j in product(range(3), range(3))]
 
 
 def pair_moments(pairs: DataFrame, key: str = "flight_id") -> DataFrame:
@@ -38,60 +34,63 @@ def pair_moments(pairs: DataFrame, key: str = "flight_id") -> DataFrame:
     return pairs.groupBy(key).agg(*sums)
 
 
-def _covariance(frame: pd.DataFrame, prefix: str) -> np.ndarray:
-    xx, xy, xz, yy, yz, zz = (frame[f"c_{prefix}{p}"].to_numpy(float) for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
-    return np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
+def _entry(name: str) -> Column:
+    """A moment, or zero where a flight has none."""
+    return F.coalesce(F.nanvl(F.col(name), F.lit(0.0)), F.lit(0.0))
+
+
+def _covariance(prefix: str) -> Column:
+    upper = {(i, j): _entry(f"c_{prefix}{'xyz'[i]}{'xyz'[j]}") for i in range(3) for j in range(i, 3)}
+    return eigen.symmetric(upper, 3)
+
+
+def _quaternion_form() -> Column:
+    """The 4x4 matrix whose eigenvector of the largest eigenvalue is the rotation from source to target (Horn 1987)."""
+    s = {(a, b): _entry(f"x_{b}{a}") for a, b in product(range(3), range(3))}
+    upper = {(0, 0): s[0, 0] + s[1, 1] + s[2, 2]}
+    for i, (j, k) in enumerate(((1, 2), (2, 0), (0, 1))):
+        upper[0, i + 1] = s[j, k] - s[k, j]
+        upper[i + 1, i + 1] = s[i, i] - s[j, j] - s[k, k]
+        upper[min(j, k) + 1, max(j, k) + 1] = s[j, k] + s[k, j]
+    return eigen.symmetric(upper, 4)
 
 
 def fit(moments: DataFrame, key: str = "flight_id") -> DataFrame:
     """``(key, n, scale, r, t, status, reason)``; a flight that cannot be fitted has status ERROR and a reason.
 
-    The input is one short row per flight, solved in batches without another shuffle.
+    The input is one short row per flight; the fit is closed (Horn's quaternion) and stays in column expressions, so
+    it needs no Python worker and no other shuffle.
     """
-    key_type = dict(moments.dtypes)[key]
-    schema = f"{key} {key_type}, n bigint, scale double, r array<array<double>>, t array<double>, status string, reason string"
-
-    def degenerate(frame: pd.DataFrame, prefix: str, label: str) -> pd.Series:
-        covariance = np.nan_to_num(_covariance(frame, prefix))
-        eigen = np.clip(np.linalg.eigvalsh(covariance), 0, None)
-        variance = np.trace(covariance, axis1=1, axis2=2)
-        ratio = np.sqrt(np.divide(eigen[:, 1], eigen[:, 2], out=np.ones(len(frame)), where=eigen[:, 2] > 0))
-        reason = np.where(variance < 1e-10, f"{label} points coincide", np.where(ratio < 1e-5, f"{label} points are collinear", ""))
-        return pd.Series(reason, index=frame.index)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            if frame.empty:
-                continue
-            frame = frame.reset_index(drop=True)
-            reason = np.where(~frame["finite"].astype(bool), "coordinates are not finite", "")
-            reason = np.where((reason == "") & (frame["n"] < 3), "fewer than 3 pairs", reason)
-            for prefix, label in (("s", "source"), ("d", "target")):
-                reason = np.where(reason == "", degenerate(frame, prefix, label), reason)
-            cross = np.nan_to_num(frame[_CROSS].to_numpy(float)).reshape(-1, 3, 3)
-            u, singular, vt = np.linalg.svd(cross)
-            sign = np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)
-            flip = np.stack([np.ones_like(sign), np.ones_like(sign), sign], -1)
-            rotations = (u * flip[:, None, :]) @ vt
-            variance = np.trace(_covariance(frame, "s"), axis1=1, axis2=2)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scale = (singular * flip).sum(axis=1) / variance
-            skewed = np.abs(rotations @ rotations.transpose(0, 2, 1) - np.eye(3)).max(axis=(1, 2)) > 1e-5
-            reason = np.where((reason == "") & (skewed | (np.abs(np.linalg.det(rotations) - 1) > 1e-4)), "no proper rotation", reason)
-            reason = np.where((reason == "") & ~(np.isfinite(scale) & (scale > 0)), "scale is not positive", reason)
-            source, target = (frame[[f"m_{c}" for c in cols]].to_numpy(float) for cols in (_SRC, _DST))
-            shift = target - scale[:, None] * np.einsum("nij,nj->ni", rotations, source)
-            good = reason == ""
-            yield pd.DataFrame({
-                key: frame[key], "n": frame["n"],
-                "scale": np.where(good, scale, np.nan),
-                "r": [m.tolist() if ok else None for m, ok in zip(rotations, good)],
-                "t": [v.tolist() if ok else None for v, ok in zip(shift, good)],
-                "status": np.where(good, "PASS", "ERROR"),
-                "reason": np.where(good, None, reason),
-            })
-
-    return moments.mapInPandas(solve, schema).withColumn("scale", F.nanvl("scale", F.lit(None)))
+
+    def degenerate(prefix: str, label: str) -> tuple[tuple[Column, str], ...]:
+        total = sum((_entry(f"c_{prefix}{a}{a}") for a in "yz"), _entry(f"c_{prefix}xx"))
+        middle, largest = (F.greatest(F.col(f"_{prefix}")[i]["value"], F.lit(0.0)) for i in (1, 2))
+        # the square root of the ratio is compared, as spreads are lengths
+        thin = F.sqrt(middle) < 1e-5 * F.sqrt(largest)
+        return (total < 1e-10, f"{label} points coincide"), (thin, f"{label} points are collinear")
+
+    solved = moments.withColumns({
+        "_s": eigen.symmetric_eigen(_covariance("s"), 3), "_d": eigen.symmetric_eigen(_covariance("d"), 3),
+        "_best": eigen.symmetric_eigen(_quaternion_form(), 4)[3],
+    })
+    variance = _entry("c_sxx") + _entry("c_syy") + _entry("c_szz")
+    q = [F.col("_best")["vector"][i] for i in range(4)]
+    turned = solved.withColumns({
+        "_scale": F.when(variance > 0, F.col("_best")["value"] / variance),
+        "_r": R.pack_matrix(R.quaternion_to_matrix(*q)),
+    })
+    checks = [(~F.col("finite"), "coordinates are not finite"), (F.col("n") < 3, "fewer than 3 pairs")]
+    checks += [*degenerate("s", "source"), *degenerate("d", "target")]
+    scale = F.col("_scale")
+    checks.append((~F.coalesce((scale > 0) & ~F.isnan(scale) & (scale < float("inf")), F.lit(False)), "scale is not positive"))
+    reason = F.coalesce(*[F.when(bad, text) for bad, text in checks])
+    moved = R.apply(R.matrix_columns(F.col("_r")), [F.col(f"m_{c}") for c in _SRC])
+    shift = F.array(*[F.col(f"m_{c}") - scale * v for c, v in zip(_DST, moved)])
+    good = F.col("reason").isNull()
+    return turned.withColumn("reason", reason).select(
+        key, "n", F.when(good, scale).alias("scale"), F.when(good, F.col("_r")).alias("r"), F.when(good, shift).alias("t"),
+        F.when(good, "PASS").otherwise("ERROR").alias("status"), "reason",
+    )
 
 
 def residuals(pairs: DataFrame, fits: DataFrame, key: str = "flight_id") -> DataFrame:

@@ -243,6 +243,86 @@ _MOMENTS += [f"round(covar_pop({_DST[i]}, {_SRC[j]}), 3) AS x_{i}{j}" for i in r
 ORACLE["similarity_moments"] = f"""
 WITH {_PAIRS} SELECT flight_id, count(*) AS n, {', '.join(_MOMENTS)} FROM pairs GROUP BY flight_id"""
 
+def _fits() -> str:
+    """``fits`` by the power method: the projector on the dominant eigenvector of Horn's matrix, shifted to be positive,
+    is the limit of its powers, and holds all products of quaternion entries that the rotation needs."""
+    moments = [f"avg({c}) AS m_{c}" for c in (*_SRC, *_DST)]
+    moments += [f"covar_pop({_DST[b]}, {_SRC[a]}) AS s{a}{b}" for a in range(3) for b in range(3)]
+    for name, cols in (("a", _SRC), ("b", _DST)):
+        moments += [f"covar_pop({cols[i]}, {cols[j]}) AS {name}{i}{j}" for i in range(3) for j in range(i, 3)]
+    upper = [(i, j) for i in range(4) for j in range(i, 4)]
+    form = {
+        (0, 0): "s00+s11+s22", (0, 1): "s12-s21", (0, 2): "s20-s02", (0, 3): "s01-s10", (1, 1): "s00-s11-s22", (1, 2): "s01+s10",
+        (1, 3): "s02+s20", (2, 2): "s11-s00-s22", (2, 3): "s12+s21", (3, 3): "s22-s00-s11",
+    }
+    norm = "+".join(f"{1 if i == j else 2}*h{i}{j}*h{i}{j}" for i, j in upper)
+    at = lambda i, j: f"p{min(i, j)}{max(i, j)}"
+    squares = ", ".join(f"{'+'.join(f'{at(i, k)}*{at(k, j)}' for k in range(4))} AS q{i}{j}" for i, j in upper)
+    scaled = ", ".join(f"q{i}{j}/(q00+q11+q22+q33)" for i, j in upper)
+    turn = [
+        ["p00+p11-p22-p33", "2*(p12-p03)", "2*(p13+p02)"],
+        ["2*(p12+p03)", "p00-p11+p22-p33", "2*(p23-p01)"],
+        ["2*(p13-p02)", "2*(p23+p01)", "p00-p11-p22+p33"],
+    ]
+    thin = {n: f"{n}00*{n}11-{n}01*{n}01 + {n}00*{n}22-{n}02*{n}02 + {n}11*{n}22-{n}12*{n}12 < 1e-10*({n}00+{n}11+{n}22)**2" for n in "ab"}
+    return f"""moments AS (SELECT flight_id, count(*) AS n, {', '.join(moments)} FROM pairs GROUP BY flight_id),
+form AS (SELECT *, {', '.join(f'{e} AS h{i}{j}' for (i, j), e in form.items())} FROM moments),
+start AS (SELECT flight_id, sqrt({norm}) + 1e-300 AS w, {', '.join(f'h{i}{j}' for i, j in upper)} FROM form),
+powers AS (SELECT flight_id, 0 AS k, {', '.join(f"h{i}{j}/w{' + 1' if i == j else ''} AS p{i}{j}" for i, j in upper)} FROM start
+ UNION ALL SELECT flight_id, k + 1, {scaled} FROM (SELECT flight_id, k, {squares} FROM powers WHERE k < 60)),
+turned AS (SELECT form.*, {'+'.join(f'{1 if i == j else 2}*h{i}{j}*p{i}{j}' for i, j in upper)} AS top,
+ {', '.join(f'{turn[i][j]} AS r{i}{j}' for i in range(3) for j in range(3))} FROM form JOIN powers USING (flight_id) WHERE k = 60),
+judged AS (SELECT *, CASE WHEN a00+a11+a22 > 0 THEN top/(a00+a11+a22) END AS f,
+ CASE WHEN n < 3 THEN 'fewer than 3 pairs' WHEN a00+a11+a22 < 1e-10 THEN 'source points coincide' WHEN {thin['a']} THEN 'source points are collinear'
+  WHEN b00+b11+b22 < 1e-10 THEN 'target points coincide' WHEN {thin['b']} THEN 'target points are collinear'
+  WHEN NOT coalesce(top > 0, false) THEN 'scale is not positive' END AS reason FROM turned),
+fits AS (SELECT *, {', '.join(f'm_{_DST[i]} - f*({"+".join(f"r{i}{j}*m_{_SRC[j]}" for j in range(3))}) AS t{i}' for i in range(3))} FROM judged),
+gaps AS (SELECT flight_id, sqrt({'+'.join(f'(f*(r{i}0*x+r{i}1*y+r{i}2*z) + t{i} - {_DST[i]})**2' for i in range(3))}) AS d
+ FROM pairs JOIN fits USING (flight_id) WHERE reason IS NULL),
+quality AS (SELECT fits.*, rmse, max_error FROM fits LEFT JOIN
+ (SELECT flight_id, sqrt(avg(d*d)) AS rmse, max(d) AS max_error FROM gaps GROUP BY 1) USING (flight_id))"""
+
+
+ORACLE["similarity_fit"] = f"""
+WITH RECURSIVE {_PAIRS}, {_fits()}
+SELECT flight_id, n, CASE WHEN reason IS NULL THEN round(f, 4) END AS scale, round(rmse, 4) AS rmse, round(max_error, 4) AS max_error,
+       CASE WHEN reason IS NOT NULL THEN 'ERROR' WHEN rmse > 5 THEN 'WARNING' ELSE 'PASS' END AS status, reason FROM quality"""
+
+ORACLE["georeference_flights"] = f"""
+WITH RECURSIVE {_PAIRS}, {_fits()},
+p AS (SELECT flight_id, count(*) AS total, count(*) FILTER (matched) AS m FROM synced GROUP BY 1),
+j AS (SELECT p.*, f, rmse, CASE WHEN m = 0 THEN 'no pose has a fix within tolerance' ELSE reason END AS reason FROM p LEFT JOIN quality USING (flight_id))
+SELECT flight_id, CASE WHEN m > 0 THEN 'EPSG:32643' END AS target_crs, m AS matched_poses, round(m/total, 4) AS match_rate,
+       CASE WHEN reason IS NULL THEN round(f, 4) END AS scale, round(rmse, 4) AS rmse,
+       CASE WHEN reason IS NOT NULL THEN 'ERROR' WHEN rmse > 5 OR m/total < 0.5 THEN 'WARNING' ELSE 'PASS' END AS status, reason FROM j"""
+
+
+def _back_to_wgs84(rounds: int = 12) -> str:
+    """``back`` with lon and lat of ``moved``: the forward series and the conformal latitude are inverted by iteration."""
+    north = " - ".join(["v"] + [f"{c!r}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, c in enumerate(utm.FORWARD, 1)])
+    east = " - ".join(["u"] + [f"{c!r}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, c in enumerate(utm.FORWARD, 1)])
+    e = repr(utm.ECCENTRICITY)
+    return f"""plane AS (SELECT flight_id, frame_no, (gx - 5e5)/({utm.RADIUS!r}) AS u, gy/({utm.RADIUS!r}) AS v FROM moved),
+flat AS (SELECT *, v AS xi, u AS eta, 0 AS k FROM plane
+ UNION ALL SELECT flight_id, frame_no, u, v, {north}, {east}, k + 1 FROM flat WHERE k < {rounds}),
+sphere AS (SELECT flight_id, frame_no, sin(xi)/cosh(eta) AS s, atan2(sinh(eta), cos(xi)) AS lam FROM flat WHERE k = {rounds}),
+bent AS (SELECT *, s AS q, 0 AS k FROM sphere
+ UNION ALL SELECT flight_id, frame_no, s, lam, tanh(atanh(s) + {e}*atanh({e}*q)), k + 1 FROM bent WHERE k < {rounds}),
+back AS (SELECT flight_id, frame_no, degrees(lam) + 75 AS lon, degrees(asin(q)) AS lat FROM bent WHERE k = {rounds})"""
+
+
+ORACLE["geojson_features"] = f"""
+WITH RECURSIVE {_PAIRS}, {_fits()},
+moved AS (SELECT synced.flight_id, synced.frame_no, matched, {', '.join(f'f*(r{i}0*x+r{i}1*y+r{i}2*z) + t{i} AS {_DST[i]}' for i in range(3))}
+ FROM synced JOIN fits USING (flight_id) WHERE reason IS NULL), {_back_to_wgs84()},
+found AS (SELECT m.flight_id, m.frame_no, v.frame_id, v.image_name, m.matched, round(back.lon, 7) AS lon, round(back.lat, 7) AS lat, round(m.gz, 3) AS alt,
+ round(sqrt((m.gx - easting)**2 + (m.gy - northing)**2 + (m.gz - p.alt)**2), 4) AS gap
+ FROM moved m JOIN back USING (flight_id, frame_no) JOIN v_poses v USING (flight_id, frame_no) LEFT JOIN projected p USING (flight_id, frame_no)),
+told AS (SELECT *, CASE WHEN gap IS NULL THEN 'null' WHEN gap > 0 AND gap < 1e-3 THEN concat(CAST(round(gap*1e4, 0) AS INTEGER), '.0E-4') ELSE CAST(gap AS VARCHAR) END AS gap_text FROM found)
+SELECT flight_id, frame_id, image_name, lon, lat, alt AS altitude_m, concat('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[', lon, ',', lat, ',', alt,
+ ']}},"properties":{{"frame_id":"', frame_id, '","image_name":"', image_name, '","altitude_m":', alt, ',"residual_m":', gap_text,
+ ',"matched_gps":', CAST(matched AS VARCHAR), '}}}}') AS feature FROM told"""
+
 ORACLE["transform_poses"] = f"""
 WITH {using('v_poses', 'v_flight_fit')},
 turned AS (SELECT p.*, scale, angle, shift, (frame_no % 360)*pi()/180 - angle AS turn FROM v_poses p JOIN v_flight_fit USING (flight_id))

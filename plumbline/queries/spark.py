@@ -596,7 +596,8 @@ def geojson_features(spark, sf_dir):
     from plumbline.plans.georeference import georeference
 
     result = georeference(view(spark, sf_dir, "v_poses"), view(spark, sf_dir, "v_gps"), TOLERANCE)
-    return result["features"]
+    where = [F.col("coordinates")[i].alias(n) for i, n in enumerate(("lon", "lat", "altitude_m"))]
+    return result["features"].select("flight_id", "frame_id", "image_name", *where, "feature")
 
 
 @query
@@ -604,7 +605,7 @@ def georeference_flights(spark, sf_dir):
     from plumbline.plans.georeference import georeference
 
     return georeference(view(spark, sf_dir, "v_poses"), view(spark, sf_dir, "v_gps"), TOLERANCE)["flights"].select(
-        "flight_id", "target_crs", "matched_poses", "match_rate", *r4("scale", "rmse"), "status", "reason"
+        "flight_id", "target_crs", "matched_poses", *r4("match_rate", "scale", "rmse"), "status", "reason"
     )
 
 

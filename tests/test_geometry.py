@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import camera, names, utm
 from plumbline.functions import rotation as R
+from plumbline.functions.eigen import symmetric_eigen
 from plumbline.functions.timestamps import parse_seconds, seconds_in_name
 from plumbline.operators import similarity
 from plumbline.plans.georeference import georeference
@@ -204,3 +205,49 @@ def test_georeference_job(spark):
     assert flights["lonely"]["status"] == "ERROR"
     assert out["features"].count() == 4
     assert all(r["wgs84"]["altitude"] > 900 for r in out["cameras"].collect())
+
+
+def test_symmetric_eigen(spark):
+    rng = np.random.default_rng(5)
+    cases = [rng.normal(size=(4, 4)) * 10.0 ** k for k in (-8, 0, 9)] + [np.zeros((4, 4)), np.diag([3.0, 1, 1, 2]), np.outer([1, 2, 3, 4], [1, 2, 3, 4])]
+    cases = [(m + m.T) / 2 for m in cases]
+    rows = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(cases)], "id int, m array<array<double>>")
+    for r in rows.select("id", symmetric_eigen(F.col("m"), 4).alias("e")).collect():
+        m = cases[r["id"]]
+        values, vectors = np.array([e["value"] for e in r["e"]]), np.array([e["vector"] for e in r["e"]])
+        size = max(np.abs(m).max(), 1e-300)
+        assert np.allclose(values / size, np.linalg.eigvalsh(m) / size, atol=1e-12)
+        assert np.allclose(vectors @ vectors.T, np.eye(4), atol=1e-12)
+        assert np.allclose(vectors @ m / size, values[:, None] * vectors / size, atol=1e-11)
+
+
+def test_similarity_fit_equals_svd(spark):
+    """Random, flat, mirrored and nearly collinear pairs against the decomposition of their cross covariance."""
+    rng = np.random.default_rng(6)
+    groups = {}
+    for i in range(12):
+        src = rng.normal(size=(6, 3)) * [[1, 1, 1], [1, 1, 0], [1, 1e-3, 1e-3]][i % 3] * 50
+        mirror = [1, 1, -1] if i % 4 == 3 else [1, 1, 1]
+        groups[f"g{i:02}"] = (src, (src * mirror) @ euler(*rng.uniform(-180, 180, 3)).T * rng.uniform(0.1, 9) + rng.normal(size=(6, 3)) * (i % 2) + [5e5, 4e6, 90])
+    groups["flat cross"] = (np.array([[1.0, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0]]), np.array([[0.0, 0, 1], [0, 0, 1], [0, 0, -1], [0, 1, -1]]))
+    fits = {r["flight_id"]: r for r in similarity.fit(similarity.pair_moments(pair_table(spark, groups))).collect()}
+    for name, (src, dst) in groups.items():
+        r, a, b = fits[name], src - src.mean(0), dst - dst.mean(0)
+        u, sv, vt = np.linalg.svd(b.T @ a / len(a))
+        sign = np.array([1, 1, -1.0 if np.linalg.det(u @ vt) < 0 else 1.0])
+        scale = (sv * sign).sum() / (a ** 2).sum(1).mean()
+        assert r["status"] == ("PASS" if scale > 1e-15 else "ERROR"), (name, r)
+        if r["status"] == "PASS":
+            assert r["scale"] == pytest.approx(scale, rel=1e-9) and np.linalg.det(np.array(r["r"])) == pytest.approx(1)
+            if sv[1] + sign[2] * sv[2] > 1e-4 * sv[0]:
+                assert np.allclose(r["r"], (u * sign) @ vt, atol=1e-5), name
+                assert np.allclose(r["t"], dst.mean(0) - scale * ((u * sign) @ vt) @ src.mean(0), atol=1e-3), name
+
+
+def test_similarity_fit_not_finite(spark):
+    src = np.arange(12.0).reshape(4, 3) ** 2
+    bad = src.copy()
+    bad[1, 1] = np.nan
+    rows = {r["flight_id"]: r for r in similarity.fit(similarity.pair_moments(pair_table(spark, {"nan": (src, bad), "two": (src[:2], src[:2])}))).collect()}
+    assert (rows["nan"]["status"], rows["nan"]["reason"], rows["nan"]["scale"], rows["nan"]["r"]) == ("ERROR", "coordinates are not finite", None, None)
+    assert rows["two"]["reason"] == "fewer than 3 pairs"
