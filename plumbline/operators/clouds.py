@@ -155,6 +155,38 @@ def voxel_warnings(cloud_meta: DataFrame, key: str = "cloud_id") -> DataFrame:
     )
 
 
+def _draw(*parts: Column) -> Column:
+    """32 bits of a hash that is spelled alike in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
+def _triples(iterations: int, seed: int) -> Column:
+    """``array<struct(hypothesis, p, q, r)>`` of three different entries of ``ps`` for each hypothesis."""
+    n = F.size("ps")
+
+    def steps(h: Column) -> Column:
+        first, second, third = (_draw(F.lit(seed), h, F.lit(k)) for k in (1, 2, 3))
+        return F.struct(h.cast("bigint").alias("h"), first.alias("at"), (1 + second % (n - 1)).alias("s"), (1 + third % (n - 2)).alias("w"))
+
+    def corners(d: Column) -> Column:
+        places = (F.lit(0), d["s"], d["w"] + F.when(d["w"] >= d["s"], 1).otherwise(0))
+        ends = [F.get("ps", ((d["at"] + place) % n).cast("int")).alias(name) for place, name in zip(places, "pqr")]
+        return F.struct(d["h"].alias("hypothesis"), *ends)
+
+    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), steps), corners)
+
+
+def _planes(triples: DataFrame, key: str) -> DataFrame:
+    """``(key, hypothesis, a, b, c, d)``: the unit plane through ``p, q, r``; three points on a line have none."""
+    u, v = ([F.col(f"{end}.{axis}") - F.col(f"p.{axis}") for axis in _AXES] for end in "qr")
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    raw = triples.select(key, "hypothesis", "p", *[c.alias(n) for c, n in zip(normal, "abc")])
+    length = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    offset = -(F.col("a") * F.col("p.x") + F.col("b") * F.col("p.y") + F.col("c") * F.col("p.z"))
+    sized = raw.select("*", length.alias("_length"), offset.alias("d")).filter("_length > 1e-12")
+    return sized.select(key, "hypothesis", *[(F.col(c) / F.col("_length")).alias(c) for c in "abcd"])
+
+
 def ground_planes(
     points: DataFrame,
     distance: float = 0.2,
@@ -166,8 +198,8 @@ def ground_planes(
 ) -> DataFrame:
     """The plane through three sampled points that most points of the cloud lie near, per cloud.
 
-    Samples are drawn by hash, so a run can be repeated. All hypotheses of a cloud are counted in one pass over
-    salted chunks of its points.
+    Points are drawn in the order of a hash of their id, and the corners of hypothesis ``h`` by hashes of ``h``, so any
+    engine can repeat a run. All hypotheses of a cloud are counted in one pass over salted chunks of its points.
     """
     key_type = dict(points.dtypes)[key]
     narrow = points.select(key, F.col(id_column).alias("id"), *_AXES)
@@ -175,31 +207,13 @@ def ground_planes(
     wanted = 3 * iterations
     # a hash threshold keeps about eight times the wanted number, so the ranking below is small for any cloud
     share = F.least(F.lit(1.0), F.lit(8.0 * wanted) / F.col("num_points"))
-    drawn = narrow.join(sizes, key).withColumn("_h", F.xxhash64(F.lit(seed), "id", *_AXES)).filter(
-        F.pmod("_h", F.lit(1 << 40)) < share * float(1 << 40)
-    )
+    drawn = narrow.join(sizes, key).withColumn("_h", _draw(F.lit(seed), F.col("id"))).filter(F.col("_h") < share * float(1 << 32))
     by_cloud = Window.partitionBy(key).orderBy("_h", "id", *_AXES)
-    sample = drawn.withColumn("_rank", F.row_number().over(by_cloud)).filter(F.col("_rank") <= wanted).select(key, *_AXES)
-
-    def hypotheses(frame: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        xyz = frame.sort_values(list(_AXES))[list(_AXES)].to_numpy()
-        if len(xyz) < 3:
-            return pd.DataFrame(columns=[key, "hypothesis", "a", "b", "c", "d"])
-        corners = xyz[np.array([rng.choice(len(xyz), 3, replace=False) for _ in range(iterations)])]
-        normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
-        lengths = np.linalg.norm(normals, axis=1)
-        good = lengths > 1e-12
-        normals = normals[good] / lengths[good, None]
-        offsets = -(normals * corners[good, 0]).sum(axis=1)
-        return pd.DataFrame({
-            key: frame[key].iloc[0], "hypothesis": np.flatnonzero(good),
-            "a": normals[:, 0], "b": normals[:, 1], "c": normals[:, 2], "d": offsets,
-        })
-
-    planes = cut(sample.groupBy(key).applyInPandas(
-        hypotheses, f"{key} {key_type}, hypothesis bigint, a double, b double, c double, d double"
-    ))
+    corner = F.struct(F.row_number().over(by_cloud).alias("rank"), *_AXES)
+    ranked = drawn.select(key, corner.alias("p")).filter(F.col("p.rank") <= wanted)
+    # at most ``wanted`` corners a cloud
+    corners = ranked.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps")).filter(F.size("ps") >= 3)
+    planes = cut(_planes(corners.select(key, F.inline(_triples(iterations, seed))), key))
     chunks = sizes.withColumn("_chunks", F.ceil(F.col("num_points") / chunk_points).cast("int")).select(key, "_chunks")
     salted_points = narrow.join(chunks, key).withColumn(
         "_salt", F.pmod(F.xxhash64("id", *_AXES), F.col("_chunks")).cast("int")

@@ -67,6 +67,27 @@ WITH {using('v_points_big')}, {_sor('v_points_big')}
 SELECT cloud_id, count(*) AS kept_points, CAST(sum(point_id) AS BIGINT) AS point_id_sum,
        round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y FROM judged WHERE keep GROUP BY cloud_id"""
 
+_HASH = "CAST(concat('0x', substr(md5(concat_ws(':', 0, {})), 1, 8)) AS BIGINT)"
+ORACLE["plane_fit"] = f"""
+WITH {using('v_points_big')},
+corners AS (SELECT cloud_id, x, y, z, row_number() OVER (PARTITION BY cloud_id ORDER BY {_HASH.format("point_id")}, point_id, x, y, z) - 1 AS i FROM v_points_big
+  QUALIFY i < 600),
+sizes AS (SELECT cloud_id, count(*) AS n FROM corners GROUP BY 1),
+steps AS (SELECT cloud_id, n, h, {_HASH.format('h, 1')} AS u, 1 + {_HASH.format('h, 2')} % (n - 1) AS s, 1 + {_HASH.format('h, 3')} % (n - 2) AS w
+  FROM sizes, range(200) r(h) WHERE n >= 3),
+picks AS (SELECT cloud_id, h, u % n AS i, (u + s) % n AS j, (u + w + CASE WHEN w >= s THEN 1 ELSE 0 END) % n AS k FROM steps),
+sides AS (SELECT cloud_id, h, p.x, p.y, p.z, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz
+  FROM picks JOIN corners p USING (cloud_id, i) JOIN (SELECT cloud_id, i AS j, x, y, z FROM corners) q USING (cloud_id, j)
+  JOIN (SELECT cloud_id, i AS k, x, y, z FROM corners) r USING (cloud_id, k)),
+normals AS (SELECT cloud_id, h, x, y, z, uy*vz - uz*vy AS a, uz*vx - ux*vz AS b, ux*vy - uy*vx AS c FROM sides),
+planes AS (SELECT cloud_id, h, a/l AS a, b/l AS b, c/l AS c, -(a*x + b*y + c*z)/l AS d FROM (SELECT *, sqrt(a*a + b*b + c*c) AS l FROM normals) WHERE l > 1e-12),
+best AS (SELECT cloud_id, h, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d,
+  count(*) FILTER (abs(a*x + b*y + c*z + d) < 0.5) AS hits, count(*) AS n FROM (SELECT cloud_id, h, a, b, c, d FROM planes)
+  JOIN (SELECT cloud_id, x, y, z FROM v_points_big) USING (cloud_id) GROUP BY cloud_id, h
+  QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY hits DESC, h) = 1)
+SELECT cloud_id, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, hits AS ground_inliers, n AS num_points,
+       round(hits/n, 4) AS ground_fraction, 'ANALYZED_NOT_FILTERED' AS status FROM best"""
+
 ORACLE["radius_filter"] = f"""
 WITH {using('v_points_big')},
 n AS (SELECT a.cloud_id, a.x, a.y, a.z, count(*) AS c FROM (SELECT DISTINCT cloud_id, x, y, z FROM v_points_big) a

@@ -153,6 +153,28 @@ def test_ground_plane(spark):
     assert abs(r["c"]) > 0.999 and abs(r["d"]) == pytest.approx(2.0, abs=0.1) and r["ground_inliers"] >= 2950
 
 
+def test_ground_plane_small_and_flat_clouds(spark):
+    """Three points have one plane; points on a line, and fewer than three, have none; repeated ids are allowed."""
+    three = cloud(spark, [[0, 0, 1], [1, 0, 1], [0, 1, 1]])
+    r = clouds.ground_planes(three, 0.1, 20).first()
+    assert (abs(r["c"]), r["ground_inliers"], r["num_points"], r["ground_fraction"]) == (1.0, 3, 3, 1.0)
+    line = cloud(spark, [[0, 0, 0], [1, 1, 1], [2, 2, 2], [5, 5, 5]])
+    assert clouds.ground_planes(line, 0.1, 20).count() == 0
+    assert clouds.ground_planes(three.limit(2), 0.1, 20).count() == 0
+    assert clouds.ground_planes(three.filter("false"), 0.1, 20).count() == 0
+    repeated = three.withColumn("point_id", F.lit(1))
+    assert clouds.ground_planes(repeated, 0.1, 20).first()["ground_inliers"] == 3
+
+
+def test_ground_plane_draws_differ(spark):
+    """All triples of a small cloud come up: of ten points each of the 120 possible planes is tried."""
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(10, 3))
+    rows = spark.range(1).select(F.array(*[F.struct(F.lit(i).alias("rank"), *[F.lit(float(v)).alias(a) for a, v in zip("xyz", q)]) for i, q in enumerate(p)]).alias("ps"))
+    planes = clouds._planes(rows.select(F.lit("a").alias("k"), F.inline(clouds._triples(2000, 0))), "k").toPandas()
+    assert len({tuple(np.flatnonzero(np.abs(p @ r[["a", "b", "c"]].to_numpy(float) + r["d"]) < 1e-9)) for _, r in planes.iterrows()}) == 120
+
+
 def test_transform_points(spark):
     fit = spark.createDataFrame([("a", 2.0, [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [100.0, 200.0, 300.0], "EPSG:32643")], "cloud_id string, scale double, r array<array<double>>, t array<double>, target_crs string")
     got = clouds.transform_points(cloud(spark, [[0, 0, 0], [1, 0, 0]]), fit).orderBy("point_id").collect()
