@@ -47,15 +47,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 def _link_graph() -> str:
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in linkgraph.RULES)
-    rounds = ", ".join(
-        f"""s{n} AS (SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
-            SELECT e.kind, dst AS host, CAST(floor(mass * share) AS BIGINT) AS mass FROM s{n - 1} s JOIN e ON e.kind = s.kind AND e.src = s.host
-            UNION ALL SELECT kind, host, mass FROM s0) GROUP BY kind, host)"""
-        for n in range(1, linkgraph.ROUNDS + 1)
-    )
+    # more rounds than any mass lasts; none without links
+    rounds = """s AS (SELECT *, 0 AS k FROM s0 UNION ALL SELECT kind, host, CAST(sum(mass) AS BIGINT), k + 1 FROM (
+        SELECT e.kind, dst AS host, CAST(floor(mass * share) AS BIGINT) AS mass, k FROM s JOIN e ON e.kind = s.kind AND e.src = s.host
+        UNION ALL SELECT s.kind, s.host, s0.mass, k FROM s JOIN s0 ON s0.kind = s.kind AND s0.host = s.host)
+        WHERE k < 400 AND EXISTS (SELECT 1 FROM links) GROUP BY kind, host, k)"""
     link = linkgraph.LINK.replace("'", "''")
     return f"""
-WITH rules(v, rule, rule_host, rule_path) AS (VALUES {rules}),
+WITH RECURSIVE rules(v, rule, rule_host, rule_path) AS (VALUES {rules}),
 p AS (SELECT page_id, html, {_LOWER.format(f"coalesce(regexp_extract(url, '{linkgraph.URL}', 1), '')")} AS host,
              coalesce(regexp_extract(url, '{linkgraph.URL}', 2), '') AS path FROM pages),
 best AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(v, length(rule)) AS v
@@ -71,7 +70,7 @@ e AS (SELECT 'trust' AS kind, src, dst, {linkgraph.DAMPING}::DOUBLE * n / sum(n)
 s0 AS (SELECT 'trust' AS kind, host, CAST({linkgraph.UNIT} AS BIGINT) AS mass FROM shares WHERE allowed >= {linkgraph.SEED_SHARE}
        UNION ALL SELECT 'distrust', host, CAST({linkgraph.UNIT} AS BIGINT) FROM shares WHERE blocked >= {linkgraph.SEED_SHARE}),
 {rounds},
-m AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM s{linkgraph.ROUNDS} GROUP BY host)
+m AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM s WHERE k = (SELECT max(k) FROM s) GROUP BY host)
 SELECT page_id, ruled.host, path, rule,
        coalesce(v, CASE WHEN coalesce(d, 0) > coalesce(t, 0) AND coalesce(d, 0) >= {int(linkgraph.LEAST * linkgraph.UNIT)} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN m ON ruled.host = m.host"""

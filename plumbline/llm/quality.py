@@ -6,8 +6,8 @@ fall into classes, word lengths, repeated and distinct words) by a small layer;
 the weighted passage representation. Only document labels are needed; the attention weights say which passages a
 score comes from (:func:`score_texts` with ``attention=True``).
 
-The model is fitted on at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id, and in
-documents of more than ``TRAIN_PASSAGES`` passages on that many, evenly spaced. Scoring reads every passage.
+The model is fitted on at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id, and on every
+passage of theirs: features take about half the size of the text they describe. Scoring reads every passage too.
 
 Defined cases: null and empty texts are one empty passage; repeated rows each get their score; labels, languages,
 sources and ids are no inputs; without labels of both classes all scores are 0.5.
@@ -29,7 +29,6 @@ from plumbline.llm.toxicity import sample_labels
 
 PASSAGE = 64
 SAMPLE = 2500
-TRAIN_PASSAGES = 256
 THRESHOLD = 0.3
 
 #: every printable ASCII character that is no letter or digit has a class of its own; then digits, cases and the rest
@@ -151,10 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x, counts = features(batch.column("bytes").to_pylist())
             bags = []
             for end, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
-                bag = x[end - n : end]
-                if n > TRAIN_PASSAGES:
-                    bag = bag[np.linspace(0, n - 1, TRAIN_PASSAGES).astype(int)]
-                bags.append(bag.tobytes())
+                bags.append(x[end - n : end].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bags, pa.binary()), batch.column("label"), batch.column("doc_id").cast(pa.string())], names=["bag", "label", "doc_id"]
             )

@@ -71,17 +71,24 @@ def _found(rules: Sequence[tuple[int, Rule, re.Pattern]], text: bytes) -> list[d
         for match in pattern.finditer(text):
             if match.end(rule.group) - match.start(rule.group) >= rule.least:
                 spans.append((match.start(), rank, match.end(), rule))
-    plain = text.isascii()
-
-    def point(offset: int) -> int:  # code points before a byte offset
-        return offset if plain else len(text[:offset].decode("utf-8", "replace"))
-
+    points = _points(text, {offset for start, _, end, _ in spans for offset in (start, end)})
     return [
-        {"start": point(start), "rank": rank, "end": point(end), "kind": rule.kind, "version": rule.version}
+        {"start": points[start], "rank": rank, "end": points[end], "kind": rule.kind, "version": rule.version}
         for start, rank, end, rule in spans
     ]
 
 
+def _points(text: bytes, offsets: set[int]) -> dict[int, int]:
+    """The code points before each byte offset, in one pass over the text."""
+    if text.isascii():
+        return {offset: offset for offset in offsets}
+    points, at, count = {}, 0, 0
+    for offset in sorted(offsets):
+        count += len(text[at:offset].decode("utf-8", "replace"))
+        at, points[offset] = offset, count
+    return points
+
+
 def _compiled(rule: Rule) -> re.Pattern:
     """A run of one character class needs no look at runs that are too short anyway."""
     if rule.group == 0 and rule.pattern.endswith(b"]+") and rule.pattern.startswith(b"[") and rule.pattern.count(b"[") == 1:

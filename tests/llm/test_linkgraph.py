@@ -55,8 +55,9 @@ def brute(pages):
         total, state = Counter(), dict(own)
         for (a, _), n in edges.items():
             total[a] += n
-        for _ in range(linkgraph.ROUNDS):
-            new = Counter(own)
+        last = None
+        while state != last:
+            last, new = state, Counter(own)
             for (a, b), n in edges.items():
                 if a in state:
                     new[b] += math.floor(state[a] * (linkgraph.DAMPING * n / total[a]))
@@ -88,6 +89,31 @@ def test_sql_on_linked_pages():
     assert got == brute(rows())
 
 
+def chain():
+    """Each host links to the one before it, the first to a blocked one; two hosts also link to each other."""
+    out = [(0, "http://bad.net/a", LINKED.format("allowed.org"))]
+    out += [(n, f"http://c{n}.com/", LINKED.format(f"c{n - 1}.com" if n > 1 else "bad.net")) for n in range(1, 46)]
+    return out + [(46, "http://x.com/", LINKED.format("y.com")), (47, "http://y.com/", LINKED.format("x.com") + LINKED.format("bad.net"))]
+
+
+def test_distrust_reaches_as_far_as_the_bound(spark):
+    pages = chain()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = linkgraph.judge(df, linkgraph.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter(map(tuple, got)) == brute(pages)
+    blocked = {r.page_id for r in got if r.verdict == "block"}
+    # half of the seed's distrust goes to y.com, and 0.85 of the rest from host to host: 0.00104 at the 38th
+    assert {1, 21, 30, 38} <= blocked and not {39, 45} & blocked
+
+
+def test_sql_on_a_chain():
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(chain(), columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    result = con.execute(LLM_ORACLE["op8_link_graph"])
+    names = [d[0] for d in result.description]
+    assert Counter(tuple(r[names.index(c)] for c in ("page_id", "host", "path", "rule", "verdict")) for r in result.fetchall()) == brute(chain())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert linkgraph.judge(df, linkgraph.rule_table(spark)).count() == 0

@@ -65,3 +65,11 @@ def test_redact(spark, tmp_path):
     assert len(out) == len(TEXTS) and out[None].text is None and out[None].spans == "x"
     assert out[3].text == "Üß [SECRET]' é [SECRET]" and out[3].n_chars == len(out[3].text)
     assert out[6].text == out[12].text == "[SECRET]" and out[10].text == TEXTS[10]
+
+
+def test_code_points_in_one_pass():
+    text = "aé€😀" * 300
+    data = text.encode()
+    cuts = [len(text[:i].encode()) for i in range(0, len(text) + 1, 7)] + [len(data)]
+    assert secrets._points(data, set(cuts)) == {c: len(data[:c].decode()) for c in cuts}
+    assert secrets._points(b"plain", {0, 5}) == {0: 0, 5: 5} and secrets._points("é".encode(), set()) == {}
