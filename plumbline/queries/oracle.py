@@ -722,6 +722,20 @@ SELECT image_id, camera_id, name, CAST(coalesce(n, 0) AS INTEGER) AS n_observati
 FROM v_images LEFT JOIN o USING (image_id)"""
 ORACLE["file_points_text"] = f"""
 WITH {using('v_points3d')} SELECT point3d_id, {_R4}, CAST(0 AS INTEGER) AS n_track FROM v_points3d"""
+ORACLE["file_cameras_binary"] = ORACLE["file_cameras_text"]
+ORACLE["file_images_binary"] = f"""
+WITH {using('v_images', 'v_observations')},
+o AS (SELECT image_id, count(*) AS n, sum(point3d_id) AS ids, sum(px) AS px FROM v_observations GROUP BY image_id),
+t AS (SELECT image_id, camera_id, name, qw, qz * 0.5e0 AS qx, qw * -0.25e0 AS qy, qz, tx, tx + 1e0 AS ty, tx - 2e0 AS tz FROM v_images)
+SELECT image_id, camera_id, name, CAST(coalesce(n, 0) AS INTEGER) AS n_observations, CAST(coalesce(ids, 0) AS BIGINT) AS point_ids,
+       {', '.join(f'floor({c} * 1e4 + 0.500001) / 1e4 AS {c}' for c in ('qw', 'qx', 'qy', 'qz', 'tx', 'ty', 'tz'))}, round(coalesce(px, 0), 4) AS px
+FROM t LEFT JOIN o USING (image_id)"""
+ORACLE["file_points_binary"] = f"""
+WITH {using('v_points3d', 'v_observations')},
+k AS (SELECT point3d_id, count(*) AS n, sum(image_id * point2d_idx) AS ids FROM v_observations GROUP BY point3d_id)
+SELECT point3d_id, {_R4}, {', '.join(f'CAST(point3d_id % {n} AS SMALLINT) AS {c}' for c, n in zip('rgb', (256, 251, 241)))},
+       (point3d_id % 8) / 8e0 AS error, CAST(coalesce(n, 0) AS INTEGER) AS n_track, CAST(coalesce(ids, 0) AS BIGINT) AS track_ids
+FROM v_points3d LEFT JOIN k USING (point3d_id)"""
 ORACLE["file_pose_json"] = ORACLE["pose_records"]
 ORACLE["file_gps_csv"] = f"""
 WITH {using('v_gps')} SELECT flight_id, {', '.join(f'floor({c} * 1e4 + 0.500001) / 1e4 AS {c}' for c in ('ts_s', 'lat', 'lon', 'alt'))} FROM v_gps"""

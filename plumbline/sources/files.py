@@ -64,8 +64,13 @@ def tokens(value: Column) -> Column:
     return F.split(F.trim(value), r"\s+")
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system that a path or URI names, and the path within it."""
+    plain = re.sub("^file:/+", "/", path)
+    return (pa.fs.LocalFileSystem(), plain) if plain.startswith("/") else pa.fs.FileSystem.from_uri(plain)
+
+
 def open_binary(path: str) -> pa.NativeFile:
     """A file to read from any task, on whatever file system its URI names."""
-    plain = re.sub("^file:/+", "/", path)
-    fs, inner = (pa.fs.LocalFileSystem(), plain) if plain.startswith("/") else pa.fs.FileSystem.from_uri(plain)
+    fs, inner = file_system(path)
     return fs.open_input_file(inner)

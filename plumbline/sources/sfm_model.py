@@ -1,7 +1,7 @@
 """Sparse reconstruction models, text and binary, as tables over many models.
 
-The model is named by the folder of its files below the given path. Text files are read line by line and split; a binary file has
-records of varying length and is parsed by one task in blocks, so large corpora should be converted to Parquet once.
+The model is named by the folder of its files below the given path. Text files are read line by line and split; binary files
+are split between their records (:mod:`plumbline.sources.sfm_binary`).
 """
 
 from __future__ import annotations
@@ -9,18 +9,15 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline import schemas
 from plumbline.operators.ordering import running_max, with_position
-from plumbline.params import CAMERA_MODELS
 from plumbline.sources.files import folder_key, lines, open_binary, tokens
+from plumbline.sources.sfm_binary import read_cameras_binary, read_images_binary, read_points_binary  # noqa: F401
 
 Paths = str | Sequence[str]
-_BLOCK_ROWS = 4096
 
 
 def _model_lines(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -106,94 +103,6 @@ def read_points_text(spark: SparkSession, paths: Paths, strict: bool = False) ->
     return good, bad
 
 
-Parser = Callable[[bytes], Iterator[dict]]
-
-
-def _binary(spark: SparkSession, paths: Paths, schema: str, parse: Parser) -> DataFrame:
-    """Rows of binary files; a file that ends early or holds unknown codes gives one row with ``file_error``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
-    named = files.select(folder_key(F.col("path"), paths).alias("model_id"), F.col("path").alias("file"), "content")
-    columns = [part.split()[0] for part in schema.split(", ")][1:]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for model_id, file, content in zip(frame["model_id"], frame["file"], frame["content"]):
-                def table(block: list[dict], error: str | None = None) -> pd.DataFrame:
-                    out = pd.DataFrame(block or [dict.fromkeys(columns)], columns=columns, dtype=object)
-                    return out.assign(model_id=model_id, file=file, file_error=error)[["model_id", *columns, "file", "file_error"]]
-
-                block: list[dict] = []
-                try:
-                    for row in parse(content):
-                        block.append(row)
-                        if len(block) == _BLOCK_ROWS:
-                            yield table(block)
-                            block = []
-                    if block:
-                        yield table(block)
-                except (struct.error, ValueError, KeyError, IndexError) as error:
-                    if block:
-                        yield table(block)
-                    yield table([], f"{type(error).__name__}: {error}")
-
-    return named.mapInPandas(run, f"{schema}, file string, file_error string")
-
-
-def _camera_records(data: bytes) -> Iterator[dict]:
-    (count,), at = struct.unpack_from("<Q", data, 0), 8
-    for _ in range(count):
-        camera_id, model, width, height = struct.unpack_from("<iiQQ", data, at)
-        # an unknown model has an unknown length: nothing after it can be trusted
-        name, size = CAMERA_MODELS[model]
-        params = struct.unpack_from(f"<{size}d", data, at + 24)
-        at += 24 + 8 * size
-        yield {"camera_id": camera_id, "model": name, "width": width, "height": height, "params": list(params)}
-
-
-def _image_records(data: bytes) -> Iterator[dict]:
-    observation = np.dtype([("px", "<f8"), ("py", "<f8"), ("point3d_id", "<i8")])
-    (count,), at = struct.unpack_from("<Q", data, 0), 8
-    for _ in range(count):
-        image_id, qw, qx, qy, qz, tx, ty, tz, camera_id = struct.unpack_from("<I7dI", data, at)
-        end = data.index(b"\0", at + 64)
-        name = data[at + 64: end].decode("utf-8")
-        (size,) = struct.unpack_from("<Q", data, end + 1)
-        # the all-ones id reads as -1 in a signed number
-        rows = np.frombuffer(data, observation, size, end + 9)
-        at = end + 9 + size * observation.itemsize
-        yield {
-            "image_id": image_id, "qw": qw, "qx": qx, "qy": qy, "qz": qz, "tx": tx, "ty": ty, "tz": tz,
-            "camera_id": camera_id, "name": name,
-            "observations": [{"px": float(r["px"]), "py": float(r["py"]), "point3d_id": int(r["point3d_id"])} for r in rows],
-        }
-
-
-def _point_records(data: bytes) -> Iterator[dict]:
-    (count,), at = struct.unpack_from("<Q", data, 0), 8
-    for _ in range(count):
-        point_id, x, y, z, r, g, b, error, size = struct.unpack_from("<Q3d3BdQ", data, at)
-        if not np.isfinite((x, y, z)).all():
-            raise ValueError(f"coordinate of point {point_id} is not finite")
-        track = np.frombuffer(data, "<u4", 2 * size, at + 51).reshape(-1, 2)
-        at += 51 + 8 * size
-        yield {
-            "point3d_id": point_id, "x": x, "y": y, "z": z, "r": r, "g": g, "b": b, "error": error,
-            "track": [{"image_id": int(i), "point2d_idx": int(k)} for i, k in track],
-        }
-
-
-def read_cameras_binary(spark: SparkSession, paths: Paths) -> DataFrame:
-    return _binary(spark, paths, schemas.CAMERA, _camera_records)
-
-
-def read_images_binary(spark: SparkSession, paths: Paths) -> DataFrame:
-    return _binary(spark, paths, schemas.IMAGE, _image_records)
-
-
-def read_points_binary(spark: SparkSession, paths: Paths) -> DataFrame:
-    return _binary(spark, paths, schemas.POINT3D, _point_records)
-
-
 def observations(images: DataFrame) -> DataFrame:
     """Exploded 2D observations of image rows."""
     return images.select("model_id", "image_id", F.posexplode("observations").alias("point2d_idx", "_o")).select(

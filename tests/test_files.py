@@ -1,6 +1,7 @@
 """Readers and writers on files made here."""
 
 import json
+import os
 import struct
 
 import numpy as np
@@ -13,10 +14,13 @@ from plumbline.operators.gps import metadata, quarantine, valid_fixes
 from plumbline.params import FrameGate
 from plumbline.plans import frame_selection
 from plumbline.sinks import documents, sfm_text
+from plumbline.sinks.sfm_binary import write_binary
 from plumbline.sources import clouds as cloud_files
 from plumbline.sources import documents as docs
 from plumbline.sources import gps_csv, images, ply
+from plumbline.sources import sfm_binary
 from plumbline.sources import sfm_model as sfm
+from plumbline.sources.files import open_binary
 
 
 def put(path, text):
@@ -144,6 +148,80 @@ def test_broken_binary_is_a_row(spark, tmp_path):
     assert sfm.read_points_binary(spark, str(tmp_path / "n/points3D.bin")).first()["file_error"]
 
 
+def points_file(count, size, bad=()):
+    """``count`` points with tracks of ``size`` entries; those in ``bad`` have no finite place."""
+    point = lambda i: struct.pack("<Q3d3BdQ", i, float("nan") if i in bad else i, 0, 0, 1, 2, 3, 0.5, size) + struct.pack("<II", i, 7) * size
+    return struct.pack("<Q", count) + b"".join(map(point, range(count)))
+
+
+def test_binary_file_is_read_in_ranges(spark, tmp_path):
+    put(tmp_path / "m/points3D.bin", points_file(1000, 3, bad={17, 900}))
+    path = str(tmp_path / "m/points3D.bin")
+    record = 51 + 8 * 3
+    ranges = sfm_binary.record_ranges(spark, path, sfm_binary.POINTS, 10 * record).orderBy("begin").collect()
+    assert len(ranges) == 100 and {r["records"] for r in ranges} == {10}
+    assert [r["begin"] for r in ranges] == [8 + 10 * record * i for i in range(100)]
+    back = sfm.read_points_binary(spark, path, 10 * record)
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 20
+    rows = back.filter("file_error IS NULL").orderBy("point3d_id").collect()
+    assert [r["point3d_id"] for r in rows] == [i for i in range(1000) if i not in (17, 900)]
+    assert all(r["x"] == r["point3d_id"] and [tuple(t) for t in r["track"]] == [(r["point3d_id"], 7)] * 3 for r in rows)
+    # a bad point is one row; the points around it stay
+    faults = [r["file_error"] for r in back.filter("file_error IS NOT NULL").collect()]
+    assert sorted(f.split("point ")[1] for f in faults) == ["17 is not finite", "900 is not finite"]
+
+
+def test_index_reads_lengths_only(tmp_path):
+    path = put(tmp_path / "points3D.bin", points_file(40, 200_000))
+    read = 0
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, n):
+            nonlocal read
+            data = self.file.read(n)
+            read += len(data)
+            return data
+
+    with open_binary(path) as f:
+        window, at = sfm_binary.Window(Counting(f), 4096), 8
+        for _ in range(40):
+            at = sfm_binary.POINTS.tail(window, at)[1]
+    assert at == os.path.getsize(path) and read <= 40 * 4096
+
+
+def test_binary_file_cut_short(spark, tmp_path):
+    whole = points_file(50, 2)
+    put(tmp_path / "a/points3D.bin", whole[:-5])
+    put(tmp_path / "b/points3D.bin", whole + b"rest")
+    put(tmp_path / "c/points3D.bin", struct.pack("<Q", 0))
+    put(tmp_path / "d/points3D.bin", b"")
+    put(tmp_path / "e/points3D.bin", struct.pack("<Q", 2**63))
+    rows = sfm.read_points_binary(spark, str(tmp_path), 500).groupBy("model_id").agg(
+        F.count("point3d_id").alias("n"), F.count("file_error").alias("bad")).collect()
+    assert {r["model_id"]: (r["n"], r["bad"]) for r in rows} == {"a": (49, 1), "b": (50, 0), "e": (0, 1)}
+
+
+def test_binary_writer(spark, tmp_path):
+    images = spark.createDataFrame(
+        [(m, i, *[float(k + i) for k in range(7)], 1, f"bild_{i}_ä.jpg", [(1.5, 2.5, -1)] * i if i else None) for m in ("u", "v") for i in range(5)],
+        sfm_binary.IMAGES.schema)
+    path = str(tmp_path / "out")
+    assert write_binary(images, "images", path, file_rows=2) == 10
+    assert not [n for _, _, names in os.walk(path) for n in names if n.startswith(".") and not n.endswith(".crc")]
+    back = sfm.read_images_binary(spark, f"{path}/images", 100)
+    key = F.regexp_replace("model_id", "^model_id=", "").alias("model_id")
+    want = images.withColumn("observations", F.coalesce("observations", F.expr("array()")))
+    assert sorted(map(str, back.select(key, *images.columns[1:]).collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(FileExistsError):
+        write_binary(images, "images", path)
+
+
 def test_model_discovery(spark, tmp_path):
     binary_model(tmp_path / "r1/1")
     binary_model(tmp_path / "r1/0")
