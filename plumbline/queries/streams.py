@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.queries.views import table, view
 from plumbline.queries.spark import fixed
 from plumbline.session import checkpoint_dir
+from plumbline.streaming.changelog import change_log, current
 from plumbline.streaming.frames import dedupe_stream as dedupe
 from plumbline.streaming.status import status_stream
 from plumbline.streaming.sync import nearest_fix_stream
@@ -22,17 +24,15 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _finish(spark: SparkSession, stream: DataFrame, mode: str, final_only: bool = False) -> DataFrame:
-    """Write the stream with ``availableNow`` to the shared folder and read the result back."""
+def _finish(spark: SparkSession, stream: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Run the stream to its end and read what it wrote: in update mode as a change log by ``keys``, else in append mode."""
     run = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{run}/checkpoint")
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{run}/out").start()
-    else:
-        # complete mode: each batch replaces the table
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{run}/out")).start()
-    query.awaitTermination()
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{run}/checkpoint")
+    if keys:
+        writer.outputMode("update").foreachBatch(change_log(f"{run}/out", keys)).start().awaitTermination()
+        return current(spark, f"{run}/out", stream.schema, keys)
+    writer.outputMode("append").format("parquet").option("path", f"{run}/out").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{run}/out")
 
 
@@ -48,14 +48,14 @@ def run_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s"), state.alias("state"), status.alias("status"),
     )
-    return _finish(spark, status_stream(log), "complete")
+    return _finish(spark, status_stream(log), ["run_id"])
 
 
 def voxel_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _stream(spark, sf_dir, "events").select(
         (F.col("event_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89).cast("double").alias("y"), F.col("value").alias("z")
     )
-    grid = means(_finish(spark, voxel_sums(points, 10.0), "complete"))
+    grid = means(_finish(spark, voxel_sums(points, 10.0), ["vx", "vy", "vz"]))
     return grid.select("vx", "vy", "vz", "merged_points", *[fixed(c).alias(c) for c in ("x", "y", "z")])
 
 
@@ -73,7 +73,7 @@ def sync_stream(spark: SparkSession, sf_dir: str, tolerance: float) -> DataFrame
         F.lit(-1).cast("bigint").alias("row_id"), F.lit(0.0).alias("ts_s"),
         F.to_timestamp(F.lit("2100-01-01 00:00:00")).alias("event_time"),
     )
-    matched = _finish(spark, nearest_fix_stream(events.unionByName(end), tolerance, "1 hour"), "append")
+    matched = _finish(spark, nearest_fix_stream(events.unionByName(end), tolerance, "1 hour"))
     return matched.select(
         "flight_id", F.col("pose_id").alias("frame_no"), "gps_seq", fixed("time_diff_s").alias("time_diff_s"), "matched"
     )
@@ -83,7 +83,7 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "embeddings").select(
         F.col("label").cast("bigint").alias("video_id"), F.col("vec_id").alias("source_idx"), F.col("embedding").alias("hist")
     )
-    flagged = _finish(spark, dedupe(rows, 0.2), "append")
+    flagged = _finish(spark, dedupe(rows, 0.2))
     return flagged.select(
         F.col("video_id").cast("int").alias("video_id"), "source_idx", "is_duplicate",
         fixed(F.nanvl("correlation", F.lit(None))).alias("correlation"),

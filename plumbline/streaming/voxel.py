@@ -11,7 +11,10 @@ _AXES = ("x", "y", "z")
 
 
 def voxel_sums(points: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0), keys: Sequence[str] = ()) -> DataFrame:
-    """Count and coordinate sums per cell of a fixed grid, as a streaming aggregation (update or complete mode)."""
+    """Count and coordinate sums per cell of a fixed grid, as a streaming aggregation.
+
+    Written in update mode through :func:`plumbline.streaming.changelog.change_log` with the cells as keys.
+    """
     cells = [F.floor((F.col(a) - float(o)) / size).alias(f"v{a}") for a, o in zip(_AXES, origin)]
     return points.groupBy(*keys, *cells).agg(
         F.count(F.lit(1)).alias("merged_points"), *[F.sum(a).alias(f"sum_{a}") for a in _AXES]
@@ -21,22 +24,3 @@ def voxel_sums(points: DataFrame, size: float, origin: Sequence[float] = (0.0, 0
 def means(sums: DataFrame) -> DataFrame:
     rest = [c for c in sums.columns if not c.startswith("sum_")]
     return sums.select(*rest, *[(F.col(f"sum_{a}") / F.col("merged_points")).alias(a) for a in _AXES])
-
-
-def snapshot_writer(path: str, keys: Sequence[str] = ()):
-    """A ``foreachBatch`` function for update mode that appends the changed cells of each batch, with its number.
-
-    A batch that is retried overwrites its own folder, so nothing is counted twice.
-    """
-
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write
-
-
-def latest(history: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Newest version of every cell from the written batches."""
-    cell = [*keys, "vx", "vy", "vz"]
-    rest = [c for c in history.columns if c not in (*cell, "batch_id")]
-    return history.groupBy(*cell).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v")).select(*cell, "_v.*")
