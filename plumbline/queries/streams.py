@@ -80,10 +80,16 @@ def sync_stream(spark: SparkSession, sf_dir: str, tolerance: float) -> DataFrame
 
 
 def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of one a second from 1970 on, where watermarks begin, by their number; rows of a second source move the watermark past the last one."""
     rows = _stream(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("bigint").alias("video_id"), F.col("vec_id").alias("source_idx"), F.col("embedding").alias("hist")
+        F.col("label").cast("bigint").alias("video_id"), F.col("vec_id").alias("source_idx"), F.col("embedding").cast("array<double>").alias("hist"),
+        F.timestamp_seconds(F.col("vec_id") + 1).alias("event_time"),
     )
-    flagged = _finish(spark, dedupe(rows, 0.2))
+    end = _stream(spark, sf_dir, "region").select(
+        F.lit(-1).cast("bigint").alias("video_id"), F.col("r_regionkey").cast("bigint").alias("source_idx"),
+        F.array(F.lit(0.0)).alias("hist"), F.to_timestamp(F.lit("2100-01-01 00:00:00")).alias("event_time"),
+    )
+    flagged = _finish(spark, dedupe(rows.unionByName(end), 0.2, "1 hour")).filter("video_id >= 0")
     return flagged.select(
         F.col("video_id").cast("int").alias("video_id"), "source_idx", "is_duplicate",
         fixed(F.nanvl("correlation", F.lit(None))).alias("correlation"),

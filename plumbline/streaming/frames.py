@@ -8,52 +8,113 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.operators.frames import _scan
 
+#: frames compared at once
+PIECE = 1024
+
 
 class LastAccepted(StatefulProcessor):
-    """State of a video: the histogram of the last accepted frame and how many were accepted."""
+    """Holds a video's frames back until the watermark has passed them, then decides them in the order of their time.
+
+    State of a video: the waiting frames; the histogram of the last accepted one, how many were accepted and the time of the last
+    decided one; the time of the newest frame. Timers: one per slice of waiting frames, and one that ends a quiet video.
+    """
 
-    def __init__(self, key: str, threshold: float, limit: int | None):
-        self.key, self.threshold, self.limit = key, threshold, limit
+    def __init__(self, key: str, threshold: float, limit: int | None, slice_ms: int, idle_ms: int):
+        self.key, self.threshold, self.limit, self.slice_ms, self.idle_ms = key, threshold, limit, slice_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hist array<double>, accepted bigint")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint, source_idx bigint", "hist array<double>")
+        self.last = handle.getValueState("last", "hist array<double>, accepted bigint, at bigint")
+        self.newest = handle.getValueState("newest", "at bigint")
+
+    def _ends(self, at: int) -> int:
+        """The end of the slice that holds a time: frames of a slice are decided together."""
+        return (at // self.slice_ms + 1) * self.slice_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("source_idx")
+        state = self.newest.get()
+        before = newest = state[0] if state is not None else None
+        for frame in rows:
+            times = frame["at_ms"].tolist()
+            for at, source_idx, hist in zip(times, frame["source_idx"].tolist(), frame["hist"]):
+                self.waiting.updateValue((at, source_idx), (list(hist),))
+            for end in {self._ends(at) for at in times}:
+                self.handle.registerTimer(end)
+            newest = max(times) if newest is None else max(newest, *times)
+        if newest != before:
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before) + self.idle_ms)
+            self.handle.registerTimer(self._ends(newest) + self.idle_ms)
+            self.newest.update((newest,))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        # timers of one batch come in any order, so whichever is first decides all that the watermark has passed
+        passed = timerValues.getCurrentWatermarkInMs()
+        # only the places are listed; the histograms follow piece by piece
+        due = sorted(tuple(k) for k in self.waiting.keys() if self._ends(k[0]) <= passed)
+        for begin in range(0, len(due), PIECE):
+            piece = due[begin: begin + PIECE]
+            values = np.array([self.waiting.getValue(k)[0] for k in piece], dtype=np.float64)
+            for k in piece:
+                self.waiting.removeKey(k)
+            # a pause parts what comes before it from what comes after
+            pauses = [i for i in range(1, len(piece)) if piece[i][0] - piece[i - 1][0] > self.idle_ms]
+            for low, high in zip([0, *pauses], [*pauses, len(piece)]):
+                decided = self._decide(key, piece[low:high], values[low:high])
+                if decided is not None:
+                    yield decided
+        newest = self.newest.get()
+        if newest is not None and self._ends(newest[0]) + self.idle_ms <= passed:
+            self.last.clear()
+            self.newest.clear()
+
+    def _decide(self, key: Any, piece: list[tuple[int, int]], values: np.ndarray) -> pd.DataFrame | None:
         state = self.last.get()
-        incoming, count = (np.asarray(state[0]), state[1]) if state is not None else (None, 0)
+        if state is None or piece[0][0] - state[2] > self.idle_ms:
+            incoming, count = None, 0
+        else:
+            incoming, count = np.asarray(state[0]), state[1]
         if self.limit is not None and count >= self.limit:
-            return
-        values = np.stack(frame["hist"].to_numpy()).astype(np.float64)
+            self.last.update((state[0], count, piece[-1][0]))
+            return None
         accepted, score = _scan(values, incoming, self.threshold)
+        stop = len(piece)
         if self.limit is not None:
             over = np.flatnonzero(count + accepted.cumsum() >= self.limit)
-            if len(over):
-                stop = over[0] + 1
-                frame, accepted, score, values = frame.iloc[:stop], accepted[:stop], score[:stop], values[:stop]
-        hits = np.flatnonzero(accepted)
-        if len(hits):
-            self.last.update((values[hits[-1]].tolist(), int(count + len(hits))))
-        yield pd.DataFrame({
-            self.key: key[0], "source_idx": frame["source_idx"].to_numpy(), "is_duplicate": ~accepted, "correlation": score
-        })
+            stop = over[0] + 1 if len(over) else stop
+        hits = np.flatnonzero(accepted[:stop])
+        hist = values[hits[-1]] if len(hits) else incoming
+        self.last.update((hist.tolist(), int(count + len(hits)), piece[-1][0]))
+        places = [source_idx for _, source_idx in piece[:stop]]
+        return pd.DataFrame({self.key: key[0], "source_idx": places, "is_duplicate": ~accepted[:stop], "correlation": score[:stop]})
 
     def close(self) -> None:
         pass
 
 
 def dedupe_stream(
-    frames: DataFrame, threshold: float, limit: int | None = None, key: str = "video_id", key_type: str = "bigint"
+    frames: DataFrame, threshold: float, delay: str, limit: int | None = None, key: str = "video_id", key_type: str = "bigint",
+    slice_seconds: float = 1.0, idle_seconds: float = 3600.0,
 ) -> DataFrame:
-    """Duplicate flags for frames ``(key, source_idx, hist)`` that arrive in source order; ``limit`` ends a video's scan.
+    """Duplicate flags for frames ``(key, source_idx, hist, event_time)``; ``limit`` ends a video's scan.
+
+    Frames may arrive in any order, within and across batches, as long as none is later than ``delay``: they are decided in the order
+    of event time, then ``source_idx``, once the watermark has passed their slice of ``slice_seconds``. Later ones are dropped by Spark,
+    which counts them; a frame that arrives twice counts once. After a pause of more than ``idle_seconds`` a video begins anew, however its
+    frames fall into batches; one that is quiet for that long is forgotten. Rows without a time or a histogram are left out. Append mode.
 
-    The state of a video is one histogram. Append mode.
+    State of a video: frames of about ``delay``, and one histogram.
     """
-    return frames.groupBy(key).transformWithStateInPandas(
-        LastAccepted(key, threshold, limit),
-        f"{key} {key_type}, source_idx bigint, is_duplicate boolean, correlation double", "Append", "None",
+    timed = frames.filter("event_time IS NOT NULL AND hist IS NOT NULL").withWatermark("event_time", delay)
+    placed = timed.withColumn("at_ms", F.unix_millis(F.col("event_time").cast("timestamp")))
+    return placed.groupBy(key).transformWithStateInPandas(
+        LastAccepted(key, threshold, limit, int(slice_seconds * 1000), int(idle_seconds * 1000)),
+        f"{key} {key_type}, source_idx bigint, is_duplicate boolean, correlation double", "Append", "EventTime",
     )

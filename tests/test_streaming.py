@@ -87,21 +87,57 @@ def test_change_log_merges(spark, tmp_path):
     assert read() == {1: None, 2: "c", None: "n"}
 
 
-def test_dedupe_in_batches(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    walk = np.cumsum(rng.normal(size=(120, 8)) * 0.5, axis=0)
-    rows = [(i % 2, i, walk[i].tolist()) for i in range(120)]
-    schema = "video_id bigint, source_idx bigint, hist array<double>"
-    batch = frames.drop_near_duplicates(spark.createDataFrame(rows, schema), 0.8)
-    want = sorted(map(tuple, batch.select("video_id", "source_idx", "is_duplicate").collect()))
-    stream = feed(spark, [rows[:50], rows[50:90], rows[90:]], str(tmp_path / "in"), schema)
-    drain(dedupe_stream(stream, 0.8), "append", str(tmp_path / "all"))
-    got = spark.read.parquet(str(tmp_path / "all/out"))
-    assert sorted(map(tuple, got.select("video_id", "source_idx", "is_duplicate").collect())) == want
-    drain(dedupe_stream(stream, 0.8, limit=6), "append", str(tmp_path / "few"))
-    few = sorted(map(tuple, spark.read.parquet(str(tmp_path / "few/out")).select("video_id", "source_idx", "is_duplicate").collect()))
+FRAME = "video_id bigint, source_idx bigint, hist array<double>, event_time timestamp"
+
+
+def video(count, seed=1):
+    """Frames of two videos, two a second."""
+    walk = np.cumsum(np.random.default_rng(seed).normal(size=(count, 8)) * 0.5, axis=0)
+    return [(i % 2, i, walk[i].tolist(), pd.Timestamp(1000 + i / 2, unit="s").to_pydatetime()) for i in range(count)]
+
+
+def end_of(seconds, source_idx=0):
+    return (-1, source_idx, [0.0] * 8, pd.Timestamp(seconds, unit="s").to_pydatetime())
+
+
+def flags(df):
+    return sorted(map(tuple, df.filter("video_id >= 0").select("video_id", "source_idx", "is_duplicate").collect()))
+
+
+def test_dedupe_out_of_order(spark, tmp_path):
+    """Frames shuffled over batches, and one that comes twice, give the result of one scan in order."""
+    rows = video(120)
+    batch = frames.drop_near_duplicates(spark.createDataFrame(rows, FRAME), 0.8)
+    want = flags(batch)
+    # each block of 20 frames (10 s) is shuffled, and some of a block come one batch later
+    draw = np.random.default_rng(3)
+    mixed = [rows[i: i + 20] for i in range(0, 120, 20)]
+    mixed = [[block[k] for k in draw.permutation(len(block))] for block in mixed]
+    parts = [block[:14] + (mixed[n - 1][14:] if n else []) for n, block in enumerate(mixed)] + [[*mixed[-1][14:], rows[119]], [end_of(10**6)]]
+    stream = feed(spark, parts, str(tmp_path / "in"), FRAME)
+    drain(dedupe_stream(stream, 0.8, "30 seconds"), "append", str(tmp_path / "all"))
+    assert flags(spark.read.parquet(str(tmp_path / "all/out"))) == want
+    drain(dedupe_stream(stream, 0.8, "30 seconds", limit=6), "append", str(tmp_path / "few"))
     budget = frames.within_budget(batch.withColumn("accepted", ~F.col("is_duplicate")), 4)
-    assert few == sorted(map(tuple, budget.select("video_id", "source_idx", "is_duplicate").collect()))
+    assert flags(spark.read.parquet(str(tmp_path / "few/out"))) == flags(budget)
+
+
+def test_dedupe_forgets_quiet_videos(spark, tmp_path):
+    """After the idle time the state is gone: the same frame is accepted again; before it, it is a duplicate."""
+    one = [1.0, 5.0, 2.0, 4.0, 9.0, 0.0, 3.0, 7.0]
+    at = lambda s: pd.Timestamp(s, unit="s").to_pydatetime()
+    parts = [[(0, 0, one, at(1000))], [end_of(1100, 1)], [(0, 1, one, at(1150))], [end_of(3000, 2)], [(0, 2, one, at(3050))], [end_of(10**5, 3)],
+             [end_of(10**6, 4)]]
+    stream = feed(spark, parts, str(tmp_path / "in"), FRAME)
+    want = [(0, 0, False), (0, 1, True), (0, 2, False)]
+    query = drain(dedupe_stream(stream, 0.8, "10 seconds", idle_seconds=600), "append", str(tmp_path))
+    assert flags(spark.read.parquet(str(tmp_path / "out"))) == want
+    # one row each of the newest time and the last histogram per video; the far ends of the input close all but the last
+    left = (query.lastProgress if isinstance(query.lastProgress, dict) else json.loads(query.lastProgress.json))["stateOperators"][0]["numRowsTotal"]
+    assert left <= 3
+    once = feed(spark, [sum(parts[:-2], []), *parts[-2:]], str(tmp_path / "once"), FRAME)
+    drain(dedupe_stream(once, 0.8, "10 seconds", idle_seconds=600), "append", str(tmp_path / "o"))
+    assert flags(spark.read.parquet(str(tmp_path / "o/out"))) == want
 
 
 def test_sync_in_batches_counts_late_rows(spark, tmp_path):
